@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import langid, mixing, packing, quality, secrets, topk
 from .common import documents
 
 
@@ -45,9 +45,43 @@ FROM d JOIN b USING (k) LEFT JOIN x USING (k)
 """
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vecs.filter("vec_id % 50 = 0"), vecs)
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.pack(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(documents(spark, sf_dir).select("doc_id", "text", "lang")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_exact_top_k, op7_best_fit_packing, op9_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op3_exact_top_k": OP3_SQL}
