@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,18 +182,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return {x: pickle.loads(zlib.decompress(m)) for x, m in zip(got["lang"], got["model"])}, got["bits"].to_numpy() * LIMIT
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
-    """keep (or the id alone) with lang_pred, score and rejected. The score is the posterior of the language against the
-    next best over a hundred symbols, or over the text where that is shorter."""
+def identify(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE,
+    keep: list[str] | None = None, names: tuple = ("lang_pred", "score", "rejected"),
+) -> DataFrame:
+    """keep (or the id alone) with the predicted language, a score, and whether the text is rejected, under names. The
+    score is the posterior of the language against the next best over a hundred symbols, or the text where that is shorter."""
     models, limits = fit(docs, id_col, text_col, lang_col, rows)
     shared = docs.sparkSession.sparkContext.broadcast((models, limits))
     keep = keep or [id_col]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, limits = shared.value
-        names = np.array([*models, UNKNOWN], dtype=object)
+        langs = np.array([*models, UNKNOWN], dtype=object)
         for b in batches:
-            texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in b["__text"]]
+            texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in b.column(b.num_columns - 1).to_pylist()]
             best, score, rejected = np.full(len(texts), len(models)), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             if models and texts:
                 e = entropies(models, texts)
@@ -203,8 +207,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 n = np.minimum(100, [len(texts[i]) for i in ok])
                 score[ok] = 1 / (1 + np.exp2(-np.minimum((second - low) * n, 60)))
                 rejected[ok] = low > limits[best[ok]]
-            yield b.drop(columns="__text").assign(lang_pred=names[best], score=score, rejected=rejected)
+            cols = [*b.columns[:-1], pa.array(langs[best].tolist(), pa.string()), pa.array(score), pa.array(rejected)]
+            yield pa.record_batch(cols, names=[*keep, *names])
 
     slim = docs.select(*keep, F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return slim.mapInPandas(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return slim.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double, {names[2]} boolean")

@@ -19,7 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,22 +56,23 @@ class Encoder:
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """id, piece, start, length, ids_crc32, and the piece's rank among those of its length in this partition."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, ranks = Encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                some, rows = b.iloc[lo : lo + 500], []
-                for i, ids in zip(some["id"].array, encode([t or "" for t in some["text"]])):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                some, rows = batch.slice(lo, 500), []
+                for i, ids in enumerate(encode([t or "" for t in some.column(1).to_pylist()])):
                     n = len(ids) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
                         rows.append((i, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, ranks[length]))
                         ranks[length] += 1
-                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "part", "rank"]).astype({"id": b["id"].dtype})
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()])]
+                yield pa.record_batch([some.column(0).take(cols[0]), *cols[1:]], names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return slim.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -143,12 +144,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     runs = np.array(sorted(plan(counts, capacity)), dtype=np.int64).reshape(-1, 5)
     key = runs[:, 0] << 44 | runs[:, 1]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
-            run = runs[np.searchsorted(key, length << 44 | rank, side="right") - 1] if len(b) else runs[:0]
-            yield b.drop(columns="rank").assign(sequence_id=run[:, 3] + rank - run[:, 1], offset=run[:, 4])
+            if b.num_rows:
+                length, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
+                run = runs[np.searchsorted(key, length << 44 | rank, side="right") - 1]
+                yield pa.record_batch([*b.columns[:5], pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     ranked = cut.join(small(base.drop("n")), ["length", "part"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    return ranked.mapInPandas(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,11 +181,11 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """id and the rules' columns for each document."""
     refs = collect_references(references(docs, text_col, lang_col))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = pd.DataFrame([judge(t or "", refs) for t in b["text"]], columns=NAMES)
-            out.insert(0, "id", b["id"].array)
-            yield out
+            rows = [judge(t or "", refs) for t in b.column(1).to_pylist()]
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+            yield pa.record_batch([b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["id", *NAMES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, {SCHEMA}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, {SCHEMA}")

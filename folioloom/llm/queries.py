@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, secrets, topk
+from . import jaccard, langid, mixing, packing, quality, secrets, topk
 from .common import documents
 
 
@@ -69,6 +69,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.link(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -80,7 +85,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_exact_top_k, op7_best_fit_packing, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_exact_top_k, op7_best_fit_packing, op8_jaccard_join, op9_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
