@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, quality, secrets, topk
+from . import jaccard, langid, mixing, packing, quality, secrets, suffix_dedup, topk
 from .common import documents
 
 
@@ -62,6 +62,13 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(
+        documents(spark, sf_dir), finish=suffix_dedup.digest, schema="n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,7 +92,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_exact_top_k, op7_best_fit_packing, op8_jaccard_join, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_exact_top_k, op4_suffix_dedup, op7_best_fit_packing, op8_jaccard_join, op9_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
