@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, quality, secrets, suffix_dedup, topk
+from . import jaccard, langid, licenses, mixing, packing, quality, secrets, substring_dedup, suffix_dedup, topk
 from .common import documents
 
 
@@ -69,6 +69,15 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(documents(spark, sf_dir), finish=substring_dedup.digest, schema="n_words long, n_removed long, kept_sha256 string")
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,7 +101,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_exact_top_k, op4_suffix_dedup, op7_best_fit_packing, op8_jaccard_join, op9_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_mix_sources, op3_exact_top_k, op4_suffix_dedup, op5_substring_dedup, op6_license_scan, op7_best_fit_packing, op8_jaccard_join, op9_language_id, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
