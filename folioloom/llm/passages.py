@@ -19,14 +19,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .repeats import Hashes, LevelFamily, anchors, mix
 
 #: Contexts of one gram that are compared in one task; contexts and anchors that are handled at once.
-HOT, CHUNK, FLUSH = 1000, 30_000, 4_000_000
+HOT, CHUNK, FLUSH = 1000, 8_000, 1_000_000
 SHIFT = 40
+_PLACE = (1 << SHIFT) - 1
 NULL_ID = -(2**63)
 _BYTES = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 
@@ -54,22 +56,20 @@ def hash_values(stored: np.ndarray) -> np.ndarray:
     return mix(out.view(np.uint64)[..., 0] + np.uint64(1))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (never null), r (told apart among equal ids) and text, dealt by id."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """id (never null), r (told apart among equal ids) and text; and which of them tell documents apart."""
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     if slim.groupBy("id").count().filter("count > 1").take(1):
         digest = F.xxhash64("text").alias("digest")
         ranks = slim.select("id", digest).distinct().withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("digest")).cast("long") - 1)
-        slim = slim.withColumn("digest", F.xxhash64("text")).join(ranks, ["id", "digest"]).select("id", "r", "text")
-    else:
-        slim = slim.select("id", F.lit(0).cast("long").alias("r"), "text")
-    return slim
+        return slim.withColumn("digest", F.xxhash64("text")).join(ranks, ["id", "digest"]).select("id", "r", "text"), ["id", "r"]
+    return slim.select("id", F.lit(0).cast("long").alias("r"), "text"), ["id"]
 
 
-def _some(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _some(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about so many bytes of text, which is the column text."""
     for b in batches:
-        lens = np.array([len(t) if t is not None else 0 for t in b.column("text").to_pylist()], dtype=np.int64)
+        lens = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(lens) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):
@@ -86,13 +86,19 @@ def _anchor_rows(tokens: Tokens, other: bool):
         held, n = [], 0
 
         def settled():
-            g, ctx, doc, pos = (np.concatenate(x) for x in zip(*held))
+            g, ctx, doc, pos, left, right = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((pos, doc))
-            g, ctx, doc, pos = (x[order] for x in (g, ctx, doc, pos))
+            g, ctx, doc, pos, left, right = (x[order] for x in (g, ctx, doc, pos, left, right))
             seen = LevelFamily(other).add(g, ctx, doc, pos)
-            # settled anchors only pass on: their place is negative, and they are dealt by document
-            to = np.where(seen, mix(doc.view(np.uint64)), g)
-            return _rows(g=to.view(np.int64), ctx=ctx.view(np.int64), id=doc, pos=np.where(seen, -1 - pos, pos))
+            new = ~seen
+            yield _rows(g=g[new].view(np.int64), ctx=ctx[new].astype(np.int64), id=doc[new], pos=pos[new], data=pa.nulls(int(new.sum()), pa.binary()))
+            # what is settled only passes on: ranges of each document, dealt by document
+            doc, r, pos = doc[seen], pos[seen] >> SHIFT, pos[seen] & _PLACE
+            if len(doc):
+                owner = np.cumsum(np.concatenate(([0], (doc[1:] != doc[:-1]) | (r[1:] != r[:-1]))))
+                have, packed = _packed(owner, pos - left[seen], pos + right[seen])
+                at = np.searchsorted(owner, have)
+                yield _rows(g=mix(doc[at].view(np.uint64)).view(np.int64), ctx=np.zeros(len(at), dtype=np.int64), id=doc[at], pos=-1 - (r[at] << SHIFT), data=packed)
 
         for b in _some(batches):
             stored, starts, lens = tokens(b.column("text").to_pylist())
@@ -102,15 +108,15 @@ def _anchor_rows(tokens: Tokens, other: bool):
                 d = np.searchsorted(starts, at, side="right") - 1
                 # the last text that starts there, where empty ones start there too, is the one with tokens
                 left, right = np.minimum(tokens.w - tokens.k, at - starts[d]), np.minimum(tokens.w, starts[d] + lens[d] - at)
-                ctx = mix(h(at - left, at + right) + (left * 1024 + right).astype(np.uint64))
+                ctx = mix(h(at - left, at + right) + (left * 1024 + right).astype(np.uint64)) >> np.uint64(33)
                 ids, r = (b.column(c).to_numpy() for c in ("id", "r"))
-                held.append((h(at, at + tokens.k), ctx, ids[d], at - starts[d] + (r[d] << SHIFT)))
+                held.append((h(at, at + tokens.k), ctx, ids[d], at - starts[d] + (r[d] << SHIFT), left, right))
                 n += len(at)
                 if n >= FLUSH:
-                    yield settled()
+                    yield from settled()
                     held, n = [], 0
         if held:
-            yield settled()
+            yield from settled()
 
     return run
 
@@ -119,12 +125,13 @@ def _index(other: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = LevelFamily(other)
         for b in batches:
-            g, ctx, doc, pos = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            done = pos < 0
-            new = np.flatnonzero(~done)
-            seen = family.add(g[new].view(np.uint64), ctx[new].view(np.uint64), doc[new], pos[new])
-            doc_out, pos_out = np.concatenate((doc[done], doc[new][seen])), np.concatenate((-1 - pos[done], pos[new][seen]))
-            yield _rows(id=doc_out, pos=pos_out, g=np.zeros(len(doc_out), dtype=np.int64), what=np.zeros(len(doc_out), dtype=np.int32))
+            g, ctx, doc, pos = (c.to_numpy(zero_copy_only=False) for c in b.columns[:4])
+            done = np.flatnonzero(pos < 0)
+            if len(done):
+                yield _rows(id=doc[done], pos=-1 - pos[done], g=np.zeros(len(done), dtype=np.int64), what=np.full(len(done), 3, dtype=np.int32), data=b.column(4).take(pa.array(done)))
+            new = np.flatnonzero(pos >= 0)
+            seen = new[family.add(g[new].view(np.uint64), ctx[new].view(np.uint64), doc[new], pos[new])]
+            yield _rows(id=doc[seen], pos=pos[seen], g=np.zeros(len(seen), dtype=np.int64), what=np.zeros(len(seen), dtype=np.int32), data=pa.nulls(len(seen), pa.binary()))
         g, ctx, doc, pos = family.entries()
         order = np.lexsort((ctx, g))
         g, ctx, doc, pos = (x[order] for x in (g, ctx, doc, pos))
@@ -133,7 +140,7 @@ def _index(other: bool):
             several = np.maximum.reduceat(ctx, first) != np.minimum.reduceat(ctx, first)
             what = np.repeat(np.where(several, np.where(n > HOT, 2, 1), 0), n)
             keep = what > 0
-            yield _rows(id=doc[keep], pos=pos[keep], g=g[keep].view(np.int64), what=what[keep].astype(np.int32))
+            yield _rows(id=doc[keep], pos=pos[keep], g=g[keep].view(np.int64), what=what[keep].astype(np.int32), data=pa.nulls(int(keep.sum()), pa.binary()))
 
     return run
 
@@ -148,6 +155,13 @@ def _merged(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.stack((lo[new], np.append(hi[:-1][new[1:]], hi[-1])), axis=1)
 
 
+def _packed(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Owners (small numbers) that have ranges, ascending, and each one's merged ranges as bytes."""
+    m = _merged(lo + (owner << SHIFT), hi + (owner << SHIFT))
+    have, first = np.unique(m[:, 0] >> SHIFT, return_index=True)
+    return have, pa.array([(x & _PLACE).tobytes() for x in np.split(m, first[1:])] if len(have) else [], pa.binary())
+
+
 def _contexts(tokens: Tokens, other: bool):
     """From texts with their marks to rows of three kinds: 0 ranges that are settled, 1 contexts, 2 windows."""
 
@@ -164,10 +178,14 @@ def _contexts(tokens: Tokens, other: bool):
             d = np.repeat(np.arange(b.num_rows), marks.value_lengths().to_numpy(zero_copy_only=False))
             flat = marks.flatten()
             pos, g, what = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            ready = what == 3
+            got = flat.field(3).filter(pa.array(ready)).to_pylist()
+            size = [len(x) // 16 for x in got]
+            ready_d, ready = np.repeat(d[ready], size), np.frombuffer(b"".join(got), dtype=np.int64).reshape(-1, 2)
             pos = pos - (r[d] << SHIFT)
             left, right = np.minimum(reach, pos), np.minimum(tokens.w, lens[d] - pos)
             full = what == 0
-            lo_d, lo, hi = [d[full]], [(pos - left)[full]], [(pos + right)[full]]
+            lo_d, lo, hi = [d[full], ready_d], [(pos - left)[full], ready[:, 0]], [(pos + right)[full], ready[:, 1]]
             hot = np.flatnonzero(what == 2)
             rows = []
             if len(hot):
@@ -177,7 +195,7 @@ def _contexts(tokens: Tokens, other: bool):
                 step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
                 start = (pos - left)[who] + step
                 once = np.unique(d[who] << SHIFT | start)
-                wd, start = once >> SHIFT, once & ((1 << SHIFT) - 1)
+                wd, start = once >> SHIFT, once & _PLACE
                 hashes = h(starts[wd] + start, starts[wd] + start + tokens.w)
                 order = np.lexsort((start, r[wd], ids[wd]))
                 wd, start, hashes = wd[order], start[order], hashes[order]
@@ -192,12 +210,8 @@ def _contexts(tokens: Tokens, other: bool):
             a, z = (starts[d] + pos - left)[some] * width, (starts[d] + pos + right)[some] * width
             rows.append((g[some], np.full(len(some), 1, dtype=np.int32), ids[d[some]], pos[some] + (r[d[some]] << SHIFT), left[some].astype(np.int32), pa.array([raw[i:j] for i, j in zip(a.tolist(), z.tolist())], pa.binary())))
             lo_d, lo, hi = np.concatenate(lo_d), np.concatenate(lo), np.concatenate(hi)
-            # ranges of all texts at once, each text in a stretch of its own
-            m = _merged(lo + (lo_d << SHIFT), hi + (lo_d << SHIFT))
-            owner = m[:, 0] >> SHIFT
-            have, first = np.unique(owner, return_index=True)
-            packed = [(x & ((1 << SHIFT) - 1)).tobytes() for x in np.split(m, first[1:])] if len(have) else []
-            rows.append((mix(ids[have].view(np.uint64)).view(np.int64), np.zeros(len(have), dtype=np.int32), ids[have], r[have] << SHIFT, np.zeros(len(have), dtype=np.int32), pa.array(packed, pa.binary())))
+            have, packed = _packed(lo_d, lo, hi)
+            rows.append((mix(ids[have].view(np.uint64)).view(np.int64), np.zeros(len(have), dtype=np.int32), ids[have], r[have] << SHIFT, np.zeros(len(have), dtype=np.int32), packed))
             for x in rows:
                 yield _rows(**dict(zip(("g", "kind", "id", "pos", "left", "data"), x)))
 
@@ -253,7 +267,7 @@ def _resolve(tokens: Tokens, other: bool, compare=compare):
             if n:
                 at, lo, hi = compare(tokens, g[:n], doc[:n], pos[:n], left[:n], data[:n], other)
                 p = pos[at]
-                r, p = p >> SHIFT, p & ((1 << SHIFT) - 1)
+                r, p = p >> SHIFT, p & _PLACE
                 yield _rows(id=doc[at], r=r, data=pa.array([x.tobytes() for x in np.stack((p + lo, p + hi + tokens.w), axis=1)], pa.binary()))
 
         for b in batches:
@@ -276,7 +290,7 @@ def _resolve(tokens: Tokens, other: bool, compare=compare):
                 hit = first_doc < d if other else ~new
                 window = (h[-1], first_doc[-1])
                 p = p[hit]
-                r, p = p >> SHIFT, p & ((1 << SHIFT) - 1)
+                r, p = p >> SHIFT, p & _PLACE
                 yield _rows(id=d[hit], r=r, data=pa.array([x.tobytes() for x in np.stack((p, p + tokens.w), axis=1)], pa.binary()))
         if held:
             yield from settle(None)
@@ -291,17 +305,17 @@ def remove(docs: DataFrame, tokens: Tokens, other: bool, finish: Callable, schem
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = numbered(docs, id_col, text_col)
-    dealt = texts.repartition(parts, "id", "r")
-    found = texts.mapInArrow(_anchor_rows(tokens, other), "g long, ctx long, id long, pos long")
-    found = found.repartition(parts, "g").sortWithinPartitions("id", "pos").mapInArrow(_index(other), "id long, pos long, g long, what int")
-    marks = found.withColumn("r", F.shiftright("pos", SHIFT)).groupBy("id", "r").agg(F.collect_list(F.struct("pos", "g", "what")).alias("marks"))
-    open_ = dealt.join(marks, ["id", "r"], "left").select("id", "r", "text", "marks").mapInArrow(_contexts(tokens, other), "g long, kind int, id long, pos long, left int, data binary")
+    texts, key = numbered(docs, id_col, text_col)
+    dealt = texts.repartition(parts, *key)
+    found = texts.mapInArrow(_anchor_rows(tokens, other), "g long, ctx long, id long, pos long, data binary")
+    found = found.repartition(parts, "g").sortWithinPartitions("id", "pos").mapInArrow(_index(other), "id long, pos long, g long, what int, data binary")
+    marks = found.withColumn("r", F.shiftright("pos", SHIFT)).groupBy(*key).agg(F.collect_list(F.struct("pos", "g", "what", "data")).alias("marks"))
+    open_ = dealt.join(marks, key, "left").select("id", "r", "text", "marks").mapInArrow(_contexts(tokens, other), "g long, kind int, id long, pos long, left int, data binary")
     ranges = open_.repartition(parts, "g").sortWithinPartitions("kind", "g", "id", "pos").mapInArrow(_resolve(tokens, other, compare), "id long, r long, data binary")
-    ranges = ranges.groupBy("id", "r").agg(F.collect_list("data").alias("ranges"))
+    ranges = ranges.groupBy(*key).agg(F.collect_list("data").alias("ranges"))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _some(batches):
             out = []
             for text, rs in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist()):
                 x = np.frombuffer(b"".join(rs or []), dtype=np.int64).reshape(-1, 2)
@@ -311,4 +325,4 @@ def remove(docs: DataFrame, tokens: Tokens, other: bool, finish: Callable, schem
             yield pa.record_batch([pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), *(cols.column(c).combine_chunks() for c in names)], names=["id", *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
-    return dealt.join(ranges, ["id", "r"], "left").select("id", "text", "ranges").mapInArrow(last, f"id long, {schema}")
+    return dealt.join(ranges, key, "left").select("id", "text", "ranges").mapInArrow(last, f"id long, {schema}")

@@ -18,7 +18,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for i, b in enumerate((_BASE, _INVERSE)):
-            a = np.full(2 * n, b, dtype=np.uint64)
+            a = np.full(n + (1 << 18), b, dtype=np.uint64)
             a[0] = 1
             _powers[i] = np.multiply.accumulate(a)
     return _powers[0], _powers[1]
