@@ -6,7 +6,8 @@ fall together first (one representative a set). Then two rounds of candidate pai
 * MinHash bands link groups of near copies as stars around their smallest id, so that no group emits all its pairs.
 * Prefix filtering completes the join: two sets that link share one of their first n - ceil(t * n) + 1 n-grams, so every
   pair with a shared prefix n-gram is a candidate, unless both are connected already (a component needs no second link) or
-  their sizes or the n-grams left behind the shared one bound the overlap below what a link needs.
+  their sizes, the n-grams left behind the shared one, or parity bitmaps of the sets bound the overlap below what a link
+  needs.
 
 Verification is a prefix-tree join: the partners of a probe set are kept in order, which is a trie's depth-first order; a
 partner starts from the overlap at its last common node with the one before, and a subtree is left as soon as the overlap
@@ -18,7 +19,6 @@ component. Rows that share an id are one document, linked with all that any of t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,83 +27,72 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, stage
+from .common import small, stage
+from .words import parts, word_hashes
 
 N, THRESHOLD = 5, (80, 100)
-BANDS, ROWS = 8, 4
-#: N-grams that are ordered last, at most, and the share of a partition's documents that makes one of them.
-FREQUENT, SHARE = 50_000, 0.01
+BANDS, ROWS = 6, 4
+#: The global order puts n-grams of frequent cells last, a cell being the n-grams whose hashes share their first CELL bits:
+#: cells that over SHARE of a partition's documents hit, FREQUENT of them at most. Only the cost depends on these.
+CELL, SHARE, FREQUENT = 22, 0.002, 200_000
+#: Bits of the smallest parity bitmap; larger sets have twice their size in bits, to the next power of two.
+BITMAP = 1024
 #: Ids that a side may have to be broadcast; partners of a probe in one task.
 IDS, PARTNERS = 500_000, 256
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_word = re.compile(WORD)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
-    """Distinct n-gram hashes of texts, ascending; a text with fewer words has one for its whole sequence."""
-
-    def __init__(self, n: int = N):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _word.findall((text or "").translate(_LOWER))
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        try:
-            h = np.array([known[w] for w in words], dtype=np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            h = np.array([known[w] for w in words], dtype=np.uint64)
-        k = min(self.n, len(h))
-        out = np.full(len(h) - k + 1, k, dtype=np.uint64)
-        for i in range(k):
-            out = (out ^ h[i : len(h) - k + 1 + i]) * _MUL
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
+def shingles(texts: list[str | None], n: int = N) -> list[np.ndarray]:
+    """Distinct n-gram hashes of each text, ascending; a text with fewer words has one for its whole sequence."""
+    h, count = word_hashes([t or "" for t in texts], lower=True)
+    at = np.cumsum(count) - count
+    long = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
+    for i in range(n):
+        long = _fold(long, h[i : len(h) - n + 1 + i])
+    out = []
+    for lo, m in zip(at.tolist(), count.tolist()):
+        if m >= n:
+            out.append(np.unique(long[lo : lo + m - n + 1]))
+        else:
+            x = np.full(min(m, 1), m, dtype=np.uint64)
+            for i in range(m):
+                x = _fold(x, h[lo + i : lo + i + 1])
+            out.append(x)
+    return out
+
+
+def _fold(x: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = (x ^ word) * _MUL
+    return x ^ (x >> np.uint64(29))
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
-    """The most frequent n-grams, rarest first: those in over SHARE of a partition's documents, by their total; FREQUENT at
-    most. They only order the sets, so what is missing here costs time and no link."""
+    """Rank of each cell in the global order: 0, or the place among the frequent ones, rarest first. Counted over all
+    documents; at most FREQUENT rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, docs_n = Shingler(), 0
-        keys, ns, held = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), []
+        cells, n = np.zeros(1 << CELL, dtype=np.int64), 0
         for b in batches:
-            for t in b.column(1):
-                held.append(shingle(t.as_py()))
-            docs_n += b.num_rows
-            if sum(map(len, held)) > 4_000_000:
-                keys, ns = _merge(keys, ns, held)
-                held = []
-        keys, ns = _merge(keys, ns, held)
-        top = ns > max(1, SHARE * docs_n)
-        yield pa.record_batch([pa.array(keys[top].view(np.int64)), pa.array(ns[top])], names=["g", "n"])
+            texts = b.column(1).to_pylist()
+            n += len(texts)
+            for lo, hi in parts([t or "" for t in texts]):
+                cells += np.bincount((np.concatenate(shingles(texts[lo:hi])) >> np.uint64(64 - CELL)).astype(np.int64), minlength=1 << CELL)
+        top = np.flatnonzero(cells > max(1, SHARE * n))
+        yield pa.record_batch([pa.array(top), pa.array(cells[top])], names=["cell", "n"])
 
-    got = docs.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(FREQUENT).toPandas()
-    return got["g"].to_numpy(np.int64)[::-1].view(np.uint64)
+    got = docs.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(FREQUENT).toPandas()
+    return got["cell"].to_numpy(np.int64)[::-1]
 
 
-def _merge(keys: np.ndarray, ns: np.ndarray, held: list) -> tuple[np.ndarray, np.ndarray]:
-    new, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], ns[:0])
-    both, inv = np.unique(np.concatenate((keys, new)), return_inverse=True)
-    return both, np.bincount(inv, weights=np.concatenate((ns, n)), minlength=len(both)).astype(np.int64)
+def ranks(last: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << CELL, dtype=np.int32)
+    out[last] = np.arange(1, len(last) + 1)
+    return out
 
 
-def ordered(items: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """items, ascending, in the global order: those of last behind the others, in its order."""
-    if not len(last) or not len(items):
-        return items
-    order = np.argsort(last)
-    at = np.minimum(np.searchsorted(last[order], items), len(last) - 1)
-    rank = np.where(last[order][at] == items, order[at] + 1, 0)
-    return items[np.argsort(rank, kind="stable")]
+def ordered(items: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """items, ascending, in the global order."""
+    return items[np.argsort(rank[(items >> np.uint64(64 - CELL)).astype(np.int64)], kind="stable")]
 
 
 def needed(a: int, b: int, t: tuple[int, int] = THRESHOLD) -> int:
@@ -116,46 +105,87 @@ def prefix_length(n: int, t: tuple[int, int] = THRESHOLD) -> int:
     return n - -(-t[0] * n // t[1]) + 1 if n else 0
 
 
-def _bands(items: np.ndarray) -> list[int]:
-    out = []
+def _scramble(items: np.ndarray, seed: int) -> np.ndarray:
+    x = (items ^ (np.array([seed + 1], dtype=np.uint64) * _MUL)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def bands(items: list[np.ndarray]) -> np.ndarray:
+    """The band keys of each (non-empty) set."""
+    flat, starts = np.concatenate(items), np.cumsum([0, *map(len, items[:-1])])
+    out = np.empty((len(items), BANDS), dtype=np.uint64)
     for b in range(BANDS):
-        h = [int(_scramble(items, b * ROWS + r).min()) for r in range(ROWS)]
-        out.append(xxhash.xxh64_intdigest(np.array([b, *h], dtype=np.uint64).tobytes()) - (1 << 63))
+        key = np.full(len(items), b, dtype=np.uint64)
+        for r in range(ROWS):
+            key = _fold(key, np.minimum.reduceat(_scramble(flat, b * ROWS + r), starts))
+        out[:, b] = key
     return out
 
 
-def _scramble(items: np.ndarray, seed: int) -> np.ndarray:
-    x = (items ^ (np.array([seed + 1], dtype=np.uint64) * _MUL)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(31))
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """Parities of the items by cell of the bitmap. The bitmaps of two sets differ in no more bits than the sets in items."""
+    bits = max(BITMAP, 1 << int(2 * len(items)).bit_length())
+    odd = np.bincount((items % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def bits_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits the bitmaps of each pair differ, the larger one folded to the size of the smaller."""
+    la, lb = (np.array([len(x) for x in c], dtype=np.int64) for c in (a, b))
+    out = np.zeros(len(a), dtype=np.int64)
+    for x, y in set(zip(la.tolist(), lb.tolist())):
+        at = np.flatnonzero((la == x) & (lb == y))
+        m = min(x, y)
+        u, v = (np.bitwise_xor.reduce(np.frombuffer(b"".join([c[i] for i in at]), dtype=np.uint8).reshape(len(at), -1, m), axis=1) for c in (a, b))
+        out[at] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def features(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """id, n (set size), digest of the set, its band keys and its prefix."""
+    """id, n (set size), digest of the set, its band keys, its prefix and its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        rank = ranks(shared.value)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for lo, hi in parts([t or "" for t in texts]):
+                got = shingles(texts[lo:hi])
+                full = [x for x in got if len(x)]
+                keys = iter(bands(full).view(np.int64).tolist() if full else [])
+                cols = [
+                    b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in got], pa.int64()), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in got], pa.binary()),
+                    pa.array([next(keys) if len(x) else None for x in got], pa.list_(pa.int64())),
+                    pa.array([ordered(x, rank)[: prefix_length(len(x))].view(np.int64) for x in got], pa.list_(pa.int64())),
+                    pa.array([bitmap(x).tobytes() for x in got], pa.binary()),
+                ]
+                yield pa.record_batch(cols, names=["id", "n", "digest", "bands", "prefix", "bitmap"])
+
+    return docs.mapInArrow(run, "id long, n long, digest binary, bands array<long>, prefix array<long>, bitmap binary")
+
+
+def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave room for a link."""
+    side = lambda c: nodes.select(F.col("id").alias(c), F.struct("n", "bitmap").alias(f"of_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, bands, prefix = [], [], [], []
-            for t in b.column(1):
-                items = shingle(t.as_py())
-                n.append(len(items))
-                digest.append(xxhash.xxh128_digest(items.tobytes()))
-                bands.append(_bands(items) if len(items) else None)
-                prefix.append(ordered(items, shared.value)[: prefix_length(len(items))].view(np.int64))
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.record_batch(cols, names=["id", "n", "digest", "bands", "prefix"])
+            if b.num_rows:
+                (na, xa), (nb, xb) = ((c.field(0).to_numpy(), c.field(1).to_pylist()) for c in (b.column("of_a"), b.column("of_b")))
+                ok = (na + nb - bits_apart(xa, xb)) // 2 >= -(-THRESHOLD[0] * (na + nb) // sum(THRESHOLD))
+                yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, bands array<long>, prefix array<long>")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id and items (bytes of the ordered hashes) of the documents with these ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingle(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["id", "items"])
+            texts = b.column(1).to_pylist()
+            for lo, hi in parts([t or "" for t in texts]):
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in shingles(texts[lo:hi])], pa.binary())], names=["id", "items"])
 
     return docs.join(small(ids, IDS), "id", "left_semi").mapInArrow(run, "id long, items binary")
 
@@ -271,13 +301,13 @@ def prefix_pairs(nodes: DataFrame) -> DataFrame:
                 j = slice(i + 1, max(i + 1, end))
                 need = -(-THRESHOLD[0] * (n[i] + n[j]) // sum(THRESHOLD))
                 ok = (label[j] != label[i]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) + np.minimum(pos[i], pos[j]) >= need)
-                other = ids[j][ok]
+                other, size = ids[j][ok], n[j][ok]
                 if len(other):
-                    yield np.minimum(other, ids[i]), np.maximum(other, ids[i])
+                    yield np.minimum(other, ids[i]), np.maximum(other, ids[i]), np.full(len(other), n[i]), size
 
         def batch(found):
-            a, b = (np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in ([x[k] for x in found] for k in (0, 1)))
-            return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            cols = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in ([x[k] for x in found] for k in range(4))]
+            return pa.record_batch([pa.array(c) for c in cols], names=["a", "b", "small", "large"])
 
         found: list = []
         for b in batches:
@@ -293,7 +323,13 @@ def prefix_pairs(nodes: DataFrame) -> DataFrame:
         yield batch(found)
 
     rows = rows.select("g", "n", "id", "label", "pos").sortWithinPartitions("g")
-    return rows.mapInArrow(run, "a long, b long").filter("a < b").distinct()
+    found = rows.mapInArrow(run, "a long, b long, small long, large long").filter("a < b")
+    # What two sets share lies in both prefixes, or behind the prefix of one of them: behind a prefix lie
+    # ceil(t * n) - 1 n-grams, so that many more may be shared at most.
+    num, den = THRESHOLD
+    need = F.ceil(F.lit(num) * (F.col("small") + F.col("large")) / (num + den))
+    shared = found.groupBy("a", "b", "small", "large").agg(F.count("*").alias("c"))
+    return shared.filter(F.col("c") + F.ceil(F.lit(num) * F.col("large") / den) - 1 >= need - 1).select("a", "b").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,11 +343,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     keys = reps.select("id", F.explode("bands").alias("band"))
     hub = keys.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").drop("z")
     stars = stage(keys.join(hub, "band").filter("a < id").select("a", F.col("id").alias("b")).distinct(), "jaccard-stars")
-    links = stage(verify(known, stars), "jaccard-links")
+    once = stage(reps.select("id", "n", "bitmap"), "jaccard-bitmaps")
+    links = stage(verify(known, stage(may_link(stars, once), "jaccard-stars")), "jaccard-links")
     label = components(links)
     nodes = reps.select("id", "n", "prefix").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     more = stage(prefix_pairs(nodes), "jaccard-pairs")
-    links = links.union(stage(verify(known, more), "jaccard-links"))
+    links = links.union(stage(verify(known, stage(may_link(more, once), "jaccard-pairs")), "jaccard-links"))
     # rows that share an id, and copies, meet in their representatives
     copies = full.select("id", "digest").join(first, "digest").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     label = components(links.union(copies))
