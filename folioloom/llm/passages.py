@@ -199,7 +199,7 @@ def _contexts(tokens: Tokens, other: bool):
                 hashes = h(starts[wd] + start, starts[wd] + start + tokens.w)
                 order = np.lexsort((start, r[wd], ids[wd]))
                 wd, start, hashes = wd[order], start[order], hashes[order]
-                before = _before(hashes, ids[wd], other)
+                before = _before(hashes, ids[wd], start + (r[wd] << SHIFT), other)
                 lo_d.append(wd[before])
                 lo.append(start[before])
                 hi.append(start[before] + tokens.w)
@@ -218,13 +218,13 @@ def _contexts(tokens: Tokens, other: bool):
     return run
 
 
-def _before(h: np.ndarray, doc: np.ndarray, other: bool) -> np.ndarray:
-    """Which entries, in order, have an equal one before them (or in a document before theirs)."""
+def _before(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, other: bool) -> np.ndarray:
+    """Which entries, in order, have an equal one at an earlier place (or in a document before theirs)."""
     code, uniq = pd.factorize(h)
     first = np.empty(len(uniq), dtype=np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
     first = first[code]
-    return doc[first] < doc if other else first != np.arange(len(h))
+    return doc[first] < doc if other else (doc[first] != doc) | (pos[first] != pos)
 
 
 def compare(tokens: Tokens, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, data: list[bytes], other: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,7 +244,7 @@ def compare(tokens: Tokens, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, lef
     whole = (begin >= (reach - left)[:, None]) & (begin + tokens.w <= (reach - left + size)[:, None])
     who, step = np.nonzero(whole)
     hashes = mix(h(at, at + tokens.w)[who, step] + g[who].view(np.uint64) * np.uint64(31) + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    hit = _before(hashes, doc[who], other)
+    hit = _before(hashes, doc[who], pos[who], other)
     who, step = who[hit], step[hit]
     found, first = np.unique(who, return_index=True)
     last = np.append(first[1:], len(who)) - 1
@@ -255,7 +255,7 @@ def _resolve(tokens: Tokens, other: bool, compare=compare):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
-        window = (None, None)  # the last window and the first document that has it
+        window = (None, 0, 0)  # the last window, and the first place that has it
 
         def settle(upto: int | None):
             """Compare the contexts held, all but those of the last gram unless upto is None."""
@@ -286,12 +286,13 @@ def _resolve(tokens: Tokens, other: bool, compare=compare):
                 h, d, p = b.column("g").to_numpy()[hot], doc[hot], pos[hot]
                 new = np.concatenate(([h[0] != window[0]], h[1:] != h[:-1]))
                 first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-                first_doc = np.where(first < 0, window[1] if window[1] is not None else 0, d[np.maximum(first, 0)])
-                hit = first_doc < d if other else ~new
-                window = (h[-1], first_doc[-1])
+                first_doc, first_pos = (np.where(first < 0, old, x[np.maximum(first, 0)]) for old, x in ((window[1], d), (window[2], p)))
+                hit = first_doc < d if other else (first_doc != d) | (first_pos != p)
+                window = (h[-1], first_doc[-1], first_pos[-1])
+                d = d[hit]
                 p = p[hit]
                 r, p = p >> SHIFT, p & _PLACE
-                yield _rows(id=d[hit], r=r, data=pa.array([x.tobytes() for x in np.stack((p, p + tokens.w), axis=1)], pa.binary()))
+                yield _rows(id=d, r=r, data=pa.array([x.tobytes() for x in np.stack((p, p + tokens.w), axis=1)], pa.binary()))
         if held:
             yield from settle(None)
 

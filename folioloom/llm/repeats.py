@@ -86,16 +86,16 @@ class LevelFamily:
 
     def add(self, g: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
         """Which of these anchors had their gram and context before: at all, or in a document before their own. The
-        others join the family."""
+        others join the family. A repeated row does not come before itself."""
         f = mix(g + np.uint64(31) * ctx)
         order = np.argsort(f, kind="stable")
         f, g, ctx, doc, pos = (x[order] for x in (f, g, ctx, doc, pos))
         first = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (ctx[1:] != ctx[:-1])))) if len(f) else np.empty(0, dtype=np.int64)
         run = np.repeat(first, np.diff(np.append(first, len(f))))
-        before = doc[run] < doc if self.other else run != np.arange(len(f))
-        for lf, _, lc, ld, _ in self.levels:
+        before = doc[run] < doc if self.other else (doc[run] != doc) | (pos[run] != pos)
+        for lf, _, lc, ld, lp in self.levels:
             at = np.minimum(np.searchsorted(lf, f), len(lf) - 1)
-            before |= (lf[at] == f) & (lc[at] == ctx) & ((ld[at] < doc) if self.other else True)
+            before |= (lf[at] == f) & (lc[at] == ctx) & ((ld[at] < doc) if self.other else (ld[at] != doc) | (lp[at] != pos))
         new = tuple(x[~before] for x in (f, g, ctx, doc, pos))
         while self.levels and len(self.levels[-1][0]) <= len(new[0]):
             new = self._merge(self.levels.pop(), new)
