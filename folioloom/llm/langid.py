@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 ORDER = 4
-SAMPLE = 300
+SAMPLE = 200
 MIN_COUNT = 2
 QUANTILE, LIMIT = 0.99, 1.6
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 
 
 def symbols(text: str) -> np.ndarray:
@@ -195,7 +195,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, limits = shared.value
         langs = np.array([*models, UNKNOWN], dtype=object)
-        for b in batches:
+        for b in (x.slice(lo, 500) for x in batches for lo in range(0, x.num_rows, 500)):
             texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in b.column(b.num_columns - 1).to_pylist()]
             best, score, rejected = np.full(len(texts), len(models)), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
             if models and texts:
