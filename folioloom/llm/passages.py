@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .repeats import Hashes, LevelFamily, anchors, mix
 
 #: Contexts of one gram that are compared in one task; contexts and anchors that are handled at once.
-HOT, CHUNK, FLUSH = 1000, 8_000, 1_000_000
+HOT, CHUNK, FLUSH = 1000, 4_000, 1_000_000
 SHIFT = 40
 _PLACE = (1 << SHIFT) - 1
 NULL_ID = -(2**63)
@@ -264,11 +264,15 @@ def _resolve(tokens: Tokens, other: bool, compare=compare):
             data = [y for x in held for y in x[4]]
             n = len(g) if upto is None else int(np.searchsorted(g != g[-1], False)) if g[0] != g[-1] else 0
             held, size = ([(g[n:], doc[n:], pos[n:], left[n:], data[n:])] if n < len(g) else []), len(g) - n
-            if n:
-                at, lo, hi = compare(tokens, g[:n], doc[:n], pos[:n], left[:n], data[:n], other)
-                p = pos[at]
+            cuts = np.append(np.flatnonzero(np.diff(g[:n], prepend=g[0] - 1 if n else 0)), n)  # grams stay together
+            a = 0
+            while a < n:
+                z = int(cuts[min(np.searchsorted(cuts, a + CHUNK), len(cuts) - 1)])
+                at, lo, hi = compare(tokens, g[a:z], doc[a:z], pos[a:z], left[a:z], data[a:z], other)
+                p = pos[a:z][at]
                 r, p = p >> SHIFT, p & _PLACE
-                yield _rows(id=doc[at], r=r, data=pa.array([x.tobytes() for x in np.stack((p + lo, p + hi + tokens.w), axis=1)], pa.binary()))
+                yield _rows(id=doc[a:z][at], r=r, data=pa.array([x.tobytes() for x in np.stack((p + lo, p + hi + tokens.w), axis=1)], pa.binary()))
+                a = z
 
         for b in batches:
             kind, doc, pos = (b.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "id", "pos"))

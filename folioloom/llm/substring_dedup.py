@@ -66,14 +66,22 @@ class WaveletMatrix:
         w = i >> 6
         return counts[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many of each symbol stand before lo and before hi."""
-        start = np.zeros(len(symbol), dtype=np.int64)
+    def begin(self, symbol: np.ndarray) -> np.ndarray:
+        """Where each symbol's run begins in the last level."""
+        at = np.zeros(len(symbol), dtype=np.int64)
         for (words, counts, zeros), b in zip(self.levels, reversed(range(self.bits))):
-            one = (symbol >> b) & 1 == 1
-            s, a, z = (self._ones(words, counts, i) for i in (start, lo, hi))
-            start, lo, hi = (np.where(one, zeros + r, i - r) for r, i in ((s, start), (a, lo), (z, hi)))
-        return lo - start, hi - start
+            r = self._ones(words, counts, at)
+            at = np.where((symbol >> b) & 1 == 1, zeros + r, at - r)
+        return at
+
+    def follow(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """begin() of each symbol, plus how many of it stand before lo and before hi."""
+        n = len(lo)
+        at, symbol = np.concatenate((lo, hi)), np.concatenate((symbol, symbol))
+        for (words, counts, zeros), b in zip(self.levels, reversed(range(self.bits))):
+            r = self._ones(words, counts, at)
+            at = np.where((symbol >> b) & 1 == 1, zeros + r, at - r)
+        return at[:n], at[n:]
 
 
 class FMIndex:
@@ -83,6 +91,8 @@ class FMIndex:
         sa = suffix_array(x)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(x, minlength=size))))
         self.tree = WaveletMatrix(x[sa - 1], size)
+        # from a symbol's run in the tree to its rows
+        self.first = self.first[:size] - self.tree.begin(np.arange(size))
         # least document in every stretch of 2**k rows
         self.least = [doc[sa]]
         while 2 << (len(self.least) - 1) <= len(x):
@@ -90,7 +100,7 @@ class FMIndex:
             self.least.append(np.minimum(last[:-k], last[k:]))
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, z = self.tree.rank(symbol, lo, hi)
+        a, z = self.tree.follow(symbol, lo, hi)
         return self.first[symbol] + a, self.first[symbol] + z
 
     def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -115,23 +125,28 @@ def compare(tokens: Tokens, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, lef
     x = np.zeros(int(size.sum()) + len(data) + 1, dtype=np.int64)
     own = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
     x[own] = symbol + 1
-    docs = np.full(len(x), np.iinfo(np.int64).max)
-    docs[own] = np.repeat(doc, size)
+    _, rank = np.unique(doc, return_inverse=True)
+    docs = np.full(len(x), np.iinfo(np.int32).max, dtype=np.int32)
+    docs[own] = np.repeat(rank, size)
     index = FMIndex(x, n_symbols, docs)
     reach = tokens.w - tokens.k
+    # nothing repeats in the first document of a gram: what holds the same window holds the same gram
+    _, gram = np.unique(g, return_inverse=True)
+    first = np.full(gram.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, gram, rank)
+    later = np.flatnonzero(rank > first[gram])
+    # one search for each place where a window may end, all at once
+    who, end = np.repeat(later, reach + 1), np.tile(np.arange(tokens.w, tokens.w + reach + 1), len(later))
+    keep = end <= size[who]
+    who, end = who[keep], end[keep]
+    a, z = np.zeros(len(who), dtype=np.int64), np.full(len(who), len(x))
+    for back in range(1, tokens.w + 1):
+        a, z = index.extend(x[starts[who] + end - back], a, z)
+        ok = index.earliest(a, z) < rank[who]  # the context's own row is there: never empty
+        who, end, a, z = who[ok], end[ok], a[ok], z[ok]
     lo_at, hi_at = np.full(len(data), np.iinfo(np.int64).max), np.full(len(data), -1)
-    for end in range(tokens.w - reach, tokens.w + reach + 1):
-        # windows that end so many words behind the start of the context
-        who = np.flatnonzero((end >= tokens.w) & (end <= size))
-        a, z = np.zeros(len(who), dtype=np.int64), np.full(len(who), len(x))
-        for back in range(1, tokens.w + 1):
-            a, z = index.extend(x[starts[who] + end - back], a, z)
-            ok = index.earliest(a, z) < doc[who]  # the context's own row is there: never empty
-            who, a, z = who[ok], a[ok], z[ok]
-            if not len(who):
-                break
-        lo_at[who] = np.minimum(lo_at[who], end - tokens.w)
-        hi_at[who] = np.maximum(hi_at[who], end - tokens.w)
+    np.minimum.at(lo_at, who, end - tokens.w)
+    np.maximum.at(hi_at, who, end - tokens.w)
     found = np.flatnonzero(hi_at >= 0)
     return found, lo_at[found] - left[found], hi_at[found] - left[found]
 
