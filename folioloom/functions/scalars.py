@@ -55,7 +55,7 @@ def clamp(v: Column, low: float, high: float) -> Column:
 
 def quantile(v: Column, q: float) -> Column:
     """Nearest rank, as an aggregate: the sorted value at round((n - 1) * q); null for no value."""
-    return F.try_element_at(F.sort_array(F.collect_list(v)), (F.round((F.count(v) - 1) * F.lit(q)) + 1).cast("int"))
+    return F.try_element_at(F.sort_array(F.collect_list(v)), F.greatest(F.round((F.count(v) - 1) * F.lit(q)) + 1, F.lit(1)).cast("int"))
 
 
 def at_share(v: Column, q: float) -> Column:

@@ -8,8 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW, COLUMN = Window.partitionBy("page_id", "y").orderBy("x"), Window.partitionBy("page_id", "x").orderBy("y")
-PAGE = Window.partitionBy("page_id")
+
+def along_row():
+    return Window.partitionBy("page_id", "y").orderBy("x")
+
+
+def along_column():
+    return Window.partitionBy("page_id", "x").orderBy("y")
+
+
+def page():
+    return Window.partitionBy("page_id")
 
 
 def grey_pages(vectors: DataFrame, width: int = 8) -> DataFrame:
@@ -30,7 +39,7 @@ def flatten_to_white(c: Column, alpha: Column) -> Column:
 
 def column_profile(px: DataFrame, ink_below: int, trim: float = 0.1) -> DataFrame:
     """Share of ink and mean luminance of each column, over the rows between the trimmed top and bottom."""
-    h = F.max("y").over(PAGE) + 1
+    h = F.max("y").over(page()) + 1
     inner = px.withColumn("h", h).filter((F.col("y") >= F.floor(F.col("h") * trim)) & (F.col("y") < F.col("h") - F.floor(F.col("h") * trim)))
     return inner.groupBy("page_id", "x").agg(F.avg((F.col("g") <= ink_below).cast("int")).alias("ink"), F.avg("g").alias("lum"))
 
@@ -47,7 +56,7 @@ def gutter(px: DataFrame, ink_below: int, half_width: float = 0.15) -> DataFrame
     w = F.max("x").over(Window.partitionBy("page_id")) + 1
     p = p.withColumn("w", w)
     p = box_smooth(box_smooth(box_smooth(p, "ink", 2, "near_ink"), "lum", 2, "near"), "lum", 3, "wide")
-    empty = 1 - F.coalesce(F.try_divide("near_ink", F.max("near_ink").over(PAGE)), F.lit(0.0))
+    empty = 1 - F.coalesce(F.try_divide("near_ink", F.max("near_ink").over(page())), F.lit(0.0))
     dark = F.least(F.greatest((F.col("wide") - F.col("near")) / 40, F.lit(0.0)), F.lit(1.0))
     off = F.abs((F.col("x") + 0.5) / F.col("w") - 0.5)
     score = F.round((empty + dark) * (1 - off / half_width * 0.3), 9)
@@ -56,23 +65,23 @@ def gutter(px: DataFrame, ink_below: int, half_width: float = 0.15) -> DataFrame
 
 
 def max_filter(px: DataFrame, radius: int) -> DataFrame:
-    rows = px.withColumn("m", F.max("g").over(ROW.rowsBetween(-radius, radius)))
-    return rows.withColumn("m", F.max("m").over(COLUMN.rowsBetween(-radius, radius)))
+    rows = px.withColumn("m", F.max("g").over(along_row().rowsBetween(-radius, radius)))
+    return rows.withColumn("m", F.max("m").over(along_column().rowsBetween(-radius, radius)))
 
 
 def adaptive_ink(px: DataFrame, block: int, c: int) -> DataFrame:
     """ink where a pixel is darker, by c or more, than the mean of the block around it (cut off at the edges)."""
     r = block // 2
-    sums = px.withColumn("s", F.sum("g").over(ROW.rowsBetween(-r, r))).withColumn("n", F.count("*").over(ROW.rowsBetween(-r, r)))
-    sums = sums.withColumn("s", F.sum("s").over(COLUMN.rowsBetween(-r, r))).withColumn("n", F.sum("n").over(COLUMN.rowsBetween(-r, r)))
+    sums = px.withColumn("s", F.sum("g").over(along_row().rowsBetween(-r, r))).withColumn("n", F.count("*").over(along_row().rowsBetween(-r, r)))
+    sums = sums.withColumn("s", F.sum("s").over(along_column().rowsBetween(-r, r))).withColumn("n", F.sum("n").over(along_column().rowsBetween(-r, r)))
     return sums.withColumn("ink", (F.col("g") + c) * F.col("n") <= F.col("s")).drop("s", "n")
 
 
 def close_horizontal(mask: DataFrame, width: int) -> DataFrame:
     """Dilation over [x - a, x - a + width - 1], then the mirrored erosion; what lies outside is ignored. mask: on (0, 1)."""
     a = width // 2
-    d = mask.withColumn("d", F.max("on").over(ROW.rowsBetween(-a, width - 1 - a)))
-    return d.withColumn("closed", F.min("d").over(ROW.rowsBetween(-(width - 1 - a), a))).drop("d")
+    d = mask.withColumn("d", F.max("on").over(along_row().rowsBetween(-a, width - 1 - a)))
+    return d.withColumn("closed", F.min("d").over(along_row().rowsBetween(-(width - 1 - a), a))).drop("d")
 
 
 def otsu(px: DataFrame) -> DataFrame:
@@ -80,7 +89,7 @@ def otsu(px: DataFrame) -> DataFrame:
     h = px.groupBy("page_id", "g").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("page_id").orderBy("g")
     h = h.withColumn("w0", F.sum("n").over(upto)).withColumn("s0", F.sum(F.col("n") * F.col("g")).over(upto))
-    h = h.withColumn("w", F.sum("n").over(PAGE)).withColumn("s", F.sum(F.col("n") * F.col("g")).over(PAGE)).withColumn("w1", F.col("w") - F.col("w0"))
+    h = h.withColumn("w", F.sum("n").over(page())).withColumn("s", F.sum(F.col("n") * F.col("g")).over(page())).withColumn("w1", F.col("w") - F.col("w0"))
     # w0 * w1 * (mean0 - mean1)**2, without fractions but for the last division
     gap = F.col("s0") * F.col("w1") - (F.col("s") - F.col("s0")) * F.col("w0")
     h = h.withColumn("v", F.when(F.col("w1") > 0, F.round(gap.cast("double") * gap / (F.col("w0") * F.col("w1")), 6)).otherwise(0.0))
@@ -105,7 +114,7 @@ def is_grey(px: DataFrame, r: str, g: str, b: str, stride: int = 7, tolerance: i
 
 def rotate(px: DataFrame, degrees: int) -> DataFrame:
     """Clockwise by 90, 180 or 270; other angles leave the page as it is."""
-    p = px.withColumn("w", F.max("x").over(PAGE)).withColumn("h", F.max("y").over(PAGE))
+    p = px.withColumn("w", F.max("x").over(page())).withColumn("h", F.max("y").over(page()))
     x, y, w, h = (F.col(c) for c in "xywh")
     to = {90: (h - y, x), 180: (w - x, h - y), 270: (y, w - x)}.get(degrees % 360, (x, y))
     return p.select(*[c for c in px.columns if c not in "xy"], to[0].alias("x"), to[1].alias("y"))
@@ -113,7 +122,7 @@ def rotate(px: DataFrame, degrees: int) -> DataFrame:
 
 def split_at(px: DataFrame, at: Column) -> DataFrame:
     """Pages with half: 0 left of at, 1 from at on, its x starting anew; null where at lies outside the page."""
-    w = F.max("x").over(PAGE) + 1
+    w = F.max("x").over(page()) + 1
     p = px.withColumn("at", F.when((at > 0) & (at < w), at))
     half = F.when(F.col("at").isNull(), F.lit(None)).otherwise((F.col("x") >= F.col("at")).cast("int"))
     return p.withColumn("half", half).withColumn("x", F.col("x") - F.when(F.col("half") == 1, F.col("at")).otherwise(0)).drop("at")

@@ -178,7 +178,7 @@ def fill_outside(spark, sf_dir):
 
 @query(f"WITH {PX}, m AS (SELECT *, max(g) OVER (PARTITION BY page_id) AS bg FROM px) SELECT page_id, x, y, least(greatest(round(g * 255.0::DOUBLE / greatest(bg, 16) * 255.0::DOUBLE / 235), 0), 255)::INT AS g FROM m")
 def divide_background(spark, sf_dir):
-    px = pages(spark, sf_dir).withColumn("bg", F.max("g").over(P.PAGE))
+    px = pages(spark, sf_dir).withColumn("bg", F.max("g").over(P.page()))
     return px.select("page_id", "x", "y", P.divide_background(F.col("g"), F.col("bg")).alias("g"))
 
 
