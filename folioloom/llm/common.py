@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,15 @@ def n_words(text: Column) -> Column:
     """Number of words in a text; 0 for null."""
     spaced = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", " " * 5)
     return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
+
+
+def text_groups(batch: pa.RecordBatch, column: int, size: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most rows rows and about size bytes of text each, a longer text in a slice of its own: a
+    task's memory follows the longest text, not the number of long texts in a batch."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = held[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(held, before + size, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -13,6 +13,7 @@ Nulls: a null text has the closing id alone. Repeated rows are packed each. An e
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -24,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, stage
+from .common import WORD, small, stage, text_groups
 
 CAPACITY, CLOSING = 4096, 1
-#: Words whose ids a worker keeps, and what stands between words that are encoded together.
-CACHE, MARK = 400_000, "\x01"
+#: Words whose ids a worker keeps, bytes of text encoded together, and what stands between words that are.
+CACHE, GROUP, MARK = 400_000, 1 << 20, "\x01"
 _word = re.compile(WORD)
 
 
@@ -37,6 +38,7 @@ class Encoder:
     that are not kept are encoded together, some hundred at a time, with a mark between them."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only add memory pools
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
@@ -47,7 +49,8 @@ class Encoder:
         plain = [w for w in new if MARK not in w] if len(self.mark) == 1 else []
         out = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False))}
         groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False)):
+        for g in groups:
+            e = self.tokenizer.encode_batch_fast([f" {MARK} ".join(g)], add_special_tokens=False)[0]
             ids = np.array(e.ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
             raw, at = ids.tobytes(), 0
@@ -71,8 +74,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, ranks = Encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                some, rows = batch.slice(lo, 1000), []
+            for some in text_groups(batch, 1, GROUP):
+                rows = []
                 for i, ids in enumerate(encode([t or "" for t in some.column(1).to_pylist()])):
                     n = len(ids) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
