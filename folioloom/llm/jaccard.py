@@ -76,7 +76,8 @@ def frequent(docs: DataFrame) -> np.ndarray:
             texts = b.column(1).to_pylist()
             n += len(texts)
             for lo, hi in parts([t or "" for t in texts]):
-                cells += np.bincount((np.concatenate(shingles(texts[lo:hi])) >> np.uint64(64 - CELL)).astype(np.int64), minlength=1 << CELL)
+                hit, times = np.unique(np.concatenate(shingles(texts[lo:hi])) >> np.uint64(64 - CELL), return_counts=True)
+                cells[hit.astype(np.int64)] += times
         top = np.flatnonzero(cells > max(1, SHARE * n))
         yield pa.record_batch([pa.array(top), pa.array(cells[top])], names=["cell", "n"])
 

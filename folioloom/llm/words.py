@@ -12,7 +12,7 @@ _BYTES = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 #: Bytes of text that are hashed at once.
-PART = 2 << 20
+PART = 1 << 20
 
 
 def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
