@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,32 @@ def test_quality(docs, empty):
     assert quality.rules(docs).count() == docs.count() and quality.rules(empty).count() == 0
 
 
+def clean_and_junk(r, n):
+    common, long = ["the", "of", "and", "to", "in", "is", "it", "was"], "abcdefghijklmnop"
+    word = lambda: "".join(r.choice(long) for _ in range(9))
+    clean = [" ".join(r.choice(common) if r.random() < 0.4 else word() for _ in range(150)) for _ in range(n)]
+    return clean, [" ".join(word() for _ in range(150)) for _ in range(n // 5)]
+
+
+def test_quality_rejects_text_without_common_words(spark):
+    clean, junk = clean_and_junk(random.Random(7), 100)
+    rows = [(i, t, "en") for i, t in enumerate(clean)] + [(1000 + i, t, "en" if i % 2 else None) for i, t in enumerate(junk)]
+    got = quality.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert not any(r.kept for r in got if r.id >= 1000) and not any(r.base_failed for r in got)
+    assert sum(r.kept for r in got if r.id < 1000) >= 98
+
+
+def test_quality_judges_both_histograms_against_one_language():
+    rows = [("a", "class", "0", 9, 10), ("a", "class", "7", 1, 10), ("a", "word", "aa", 5, 10), ("a", "word", "", 5, 10)]
+    rows += [("b", "class", "1", 9, 10), ("b", "class", "7", 1, 10), ("b", "word", "bb", 5, 10), ("b", "word", "", 5, 10)]
+    refs = quality.References(pd.DataFrame(rows, columns=["lang", "kind", "item", "n", "total"]))
+    *_, c, w, near, own_c, own_w = quality.judge("bb cccccccc bb dddddddd", refs, "a")  # letters as in a, words as in b
+    assert max(c, w) > 0.5 and near in "ab" and (own_c, own_w)[near == "a"] is not None
+    got = refs.word_distances({"aa": 1, "BB": 2, "x": 1}, 4)
+    want = [quality.distance(np.array([0.25, 0.75]), np.array([[0.5, 0.5]]))[0], quality.distance(np.array([0.5, 0.5]), np.array([[0.5, 0.5]]))[0]]
+    assert np.allclose(got, want)
+
+
 def test_licenses(spark):
     df = spark.createDataFrame([(1, "x y z\nReleased under the MIT License. more"), (2, "Licensed*** under the Apache License, Version 2.0"), (3, "no license here at all"), (4, None)], "doc_id long, text string")
     assert sorted((r.id, r.license) for r in licenses.scan(df).collect()) == [(1, "mit-statement"), (2, "apache-2.0-statement")]
