@@ -32,7 +32,7 @@ from .common import WORD, small, stage
 
 CLASSES = ("lower", "upper", "other_letter", "mark", "digit", "punctuation", "symbol", "space", "control")
 #: Common words of a language, and the letters that such a word may have.
-TOP, SHORT, MAX_LANGS = 60, 5, 400
+TOP, SHORT = 60, 5
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Documents that a reference or a limit needs; limits above the median of distances.
 MIN_DOCS, SPREAD, CLASS_MARGIN, WORD_MARGIN = 20, 5, 0.08, 0.05
@@ -141,8 +141,7 @@ class References:
 
 def collect_references(refs: DataFrame) -> References | None:
     """The references of all languages. At most TOP + 10 rows of each language reach the driver, however many documents."""
-    most = refs.groupBy("lang").agg(F.max("total").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGS)
-    rows = refs.join(F.broadcast(most.select("lang")), "lang").toPandas()
+    rows = refs.toPandas()
     return References(rows) if len(rows) else None
 
 

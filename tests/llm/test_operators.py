@@ -252,6 +252,18 @@ def test_quality_judges_both_histograms_against_one_language():
     assert np.allclose(got, want)
 
 
+def test_quality_keeps_documents_of_every_language(spark):
+    r = random.Random(8)
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randint(2, 8)))
+    latin, hebrew = "abcdefgh", "".join(map(chr, range(0x5D0, 0x5EA)))
+    rows = [(f"l{k}", " ".join(word(latin) for _ in range(70))) for k in range(401) for _ in range(20)]
+    rows += [("he", " ".join(word(hebrew) for _ in range(52))) for _ in range(22)] + [("few", " ".join(word(hebrew[:9]) for _ in range(52)))]
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(4)
+    got = {r.id: r for r in quality.rules(df).collect()}
+    assert len(got) == len(rows) and sum(got[i].kept for i, (x, _) in enumerate(rows) if x == "he") >= 21
+    assert all(got[i].kept for i, (x, _) in enumerate(rows) if x == "few")
+
+
 def test_licenses(spark):
     df = spark.createDataFrame([(1, "x y z\nReleased under the MIT License. more"), (2, "Licensed*** under the Apache License, Version 2.0"), (3, "no license here at all"), (4, None)], "doc_id long, text string")
     assert sorted((r.id, r.license) for r in licenses.scan(df).collect()) == [(1, "mit-statement"), (2, "apache-2.0-statement")]
