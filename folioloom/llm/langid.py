@@ -6,9 +6,16 @@ and of context hashes with their back-off weights. A text gets the language with
 models share one lookup for each distinct n-gram of a batch. Texts are compared lower-cased, with digits as one symbol
 and white space as another.
 
-A text that is null or without a letter is "und". A text is rejected if its cross-entropy lies beyond what the training
-texts of its language show: over LIMIT times their QUANTILE. Nulls: null languages and null ids are not learned from;
-repeated rows get the same answer; without any labelled document every text is "und".
+A text that is null or without a letter is "und". A text is rejected if its cross-entropy lies beyond the limit of its
+language for texts of its length. Limits come from all labelled documents outside the training sample whose id's crc32 is
+not 2 modulo 4 (that fold is held out): in each band of lengths (powers of two) the median of their cross-entropies under
+their own language's model and SPREAD times the distance between median and lower quartile, at least MARGIN bits above the
+median. Junk lies above the median, so that a few such texts don't move a limit. Training takes no document whose crc32 is
+3 modulo 4, so that small languages have some for their limits. A band with fewer than MIN_DOCS of them takes the limit of
+the next shorter one (the shortest that of the next longer one); a language without any such band rejects nothing.
+
+Nulls: null languages and null ids are not learned from; repeated rows get the same answer; without any labelled document
+every text is "und".
 """
 
 from __future__ import annotations
@@ -21,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, stage
+
 UNKNOWN = "und"
 ORDER = 4
 SAMPLE = 200
 MIN_COUNT = 2
-QUANTILE, LIMIT = 0.99, 1.6
+#: Documents that a limit needs, and limits above the median of cross-entropies.
+MIN_DOCS, SPREAD, MARGIN = 20, 6, 0.6
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 18
 
@@ -152,34 +162,40 @@ def entropies(models: dict, texts: list[str]) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
-    """lang and text of at most rows documents a language, of those that may be learned from."""
-    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != 2))
+def sample_ids(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
+    """The ids of at most rows documents a language, of those that are trained on."""
+    usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 < 2))
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col)), id_col))
-    ids = usable.select(id_col, lang_col).withColumn("__rank", rank).filter(F.col("__rank") <= rows).select(id_col).distinct()
-    return usable.join(F.broadcast(ids), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return usable.select(id_col, lang_col).withColumn("__rank", rank).filter(F.col("__rank") <= rows).select(F.col(id_col).alias("__id")).distinct()
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE) -> tuple[dict, np.ndarray]:
-    """The models by language, and the bits a symbol from which a text is rejected. Each language trains in a task of its
-    own; what comes to the driver is bounded by the sample."""
+def fit(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
+    """The models by language. Each language trains in a task of its own; what comes to the driver is bounded by the
+    sample."""
     import pickle
     import zlib
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("text")
-        # every tenth text is held out to calibrate the rejection
-        texts = pdf["text"].tolist()
-        model = train([t for i, t in enumerate(texts) if i % 10])
+        model = train(sorted(pdf["text"]))
         if not model:
-            return pd.DataFrame({"lang": [], "model": [], "bits": []})
-        bits = entropies({"": model}, [t for i, t in enumerate(texts) if not i % 10])
-        bits = bits[~np.isnan(bits)]
-        top = float(np.quantile(bits, QUANTILE)) if len(bits) else 8.0
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [zlib.compress(pickle.dumps(model), 1)], "bits": [top]})
+            return pd.DataFrame({"lang": [], "model": []})
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [zlib.compress(pickle.dumps(model), 1)]})
+
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    texts = labelled.join(F.broadcast(ids), labelled[id_col] == F.col("__id"), "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    got = texts.groupBy("lang").applyInPandas(one, "lang string, model binary").toPandas().sort_values("lang")
+    return {x: pickle.loads(zlib.decompress(m)) for x, m in zip(got["lang"], got["model"])}
+
 
-    got = sample(docs, id_col, text_col, lang_col, rows).groupBy("lang").applyInPandas(one, "lang string, model binary, bits double").toPandas().sort_values("lang")
-    return {x: pickle.loads(zlib.decompress(m)) for x, m in zip(got["lang"], got["model"])}, got["bits"].to_numpy() * LIMIT
+def limits(scored: DataFrame, ids: DataFrame) -> DataFrame:
+    """__of (language), __low, __high (bands of lengths, from low to below high) and __limit in bits a symbol."""
+    known = scored.filter((F.crc32(F.col("__id").cast("string")) % 4 != 2) & F.col("__own").isNotNull()).join(small(ids), "__id", "left_anti")
+    band = known.groupBy(F.col("__lang").alias("__of"), F.col("__band").alias("__low"))
+    found = band.agg(F.count("*").alias("c"), F.percentile_approx("__own", [0.25, 0.5]).alias("q")).filter(F.col("c") >= MIN_DOCS)
+    order = Window.partitionBy("__of").orderBy("__low")
+    low = F.when(F.row_number().over(order) == 1, 0).otherwise(F.col("__low")).alias("__low")
+    limit = F.col("q")[1] + F.greatest(F.lit(MARGIN), SPREAD * (F.col("q")[1] - F.col("q")[0]))
+    return found.select("__of", low, F.coalesce(F.lead("__low").over(order), F.lit(64)).alias("__high"), limit.alias("__limit"))
 
 
 def identify(
@@ -188,28 +204,37 @@ def identify(
 ) -> DataFrame:
     """keep (or the id alone) with the predicted language, a score, and whether the text is rejected, under names. The
     score is the posterior of the language against the next best over a hundred symbols, or the text where that is shorter."""
-    models, limits = fit(docs, id_col, text_col, lang_col, rows)
-    shared = docs.sparkSession.sparkContext.broadcast((models, limits))
+    ids = stage(sample_ids(docs, id_col, text_col, lang_col, rows), "langid-sample")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, ids, id_col, text_col, lang_col))
     keep = keep or [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, limits = shared.value
+        models = shared.value
         langs = np.array([*models, UNKNOWN], dtype=object)
+        place = {x: i for i, x in enumerate(models)}
         for b in (x.slice(lo, 500) for x in batches for lo in range(0, x.num_rows, 500)):
             texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in b.column(b.num_columns - 1).to_pylist()]
-            best, score, rejected = np.full(len(texts), len(models)), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+            best, score = np.full(len(texts), len(models)), np.zeros(len(texts))
+            low, own = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             if models and texts:
                 e = entropies(models, texts)
                 ok = np.flatnonzero(~np.isnan(e[:, 0]))
                 best[ok] = e[ok].argmin(axis=1)
-                low = e[ok, best[ok]]
-                second = np.partition(e[ok], 1, axis=1)[:, 1] if len(models) > 1 else low + 1
+                low[ok] = e[ok, best[ok]]
+                second = np.partition(e[ok], 1, axis=1)[:, 1] if len(models) > 1 else low[ok] + 1
                 n = np.minimum(100, [len(texts[i]) for i in ok])
-                score[ok] = 1 / (1 + np.exp2(-np.minimum((second - low) * n, 60)))
-                rejected[ok] = low > limits[best[ok]]
-            cols = [*b.columns[:-1], pa.array(langs[best].tolist(), pa.string()), pa.array(score), pa.array(rejected)]
-            yield pa.record_batch(cols, names=[*keep, *names])
-
-    slim = docs.select(*keep, F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return slim.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double, {names[2]} boolean")
+                score[ok] = 1 / (1 + np.exp2(-np.minimum((second - low[ok]) * n, 60)))
+                named = np.array([place.get(x, -1) for x in b.column(b.num_columns - 2).to_pylist()])
+                own[named >= 0] = e[named >= 0, named[named >= 0]]
+            band = pa.array([len(t).bit_length() for t in texts], pa.int32())
+            bits = [pa.array(x, from_pandas=True) for x in (low, own)]
+            yield pa.record_batch([*b.columns[:-1], pa.array(langs[best].tolist(), pa.string()), pa.array(score), *bits, band], names=out)
+
+    out = [*keep, "__id", "__lang", *names[:2], "__bits", "__own", "__band"]
+    slim = docs.select(*keep, F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("__text").schema)
+    scored = stage(slim.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double, __bits double, __own double, __band int"), "langid-scored")
+    lim = stage(limits(scored, ids), "langid-limits")
+    at = (F.col(names[0]) == F.col("__of")) & (F.col("__band") >= F.col("__low")) & (F.col("__band") < F.col("__high"))
+    rejected = F.col("__bits").isNull() | F.coalesce(F.col("__bits") > F.col("__limit"), F.lit(False))
+    return scored.join(small(lim), at, "left").withColumn(names[2], rejected).select(*keep, *names)

@@ -198,6 +198,17 @@ def test_language(docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_language_limits_withstand_junk_labels(spark):
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    junk = lambda: " ".join("".join(r.choice("qwrtzpkjvxy") for _ in range(6)) for _ in range(40))
+    rows = [(i, junk() if i % 10 == 0 else " ".join(r.choice(vocab) for _ in range(60)), "a") for i in range(800)]
+    rows += [(2000 + i, junk(), None) for i in range(40)]
+    got = {r.doc_id: r.rejected for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    held = [i for i in range(800) if zlib.crc32(str(i).encode()) % 4 == 2 and i % 10]
+    assert sum(got[2000 + i] for i in range(40)) >= 38 and sum(got[i] for i in held) <= 0.02 * len(held)
+
+
 def test_probabilities_sum_to_one():
     text = "abracadabra barbara cab " * 5
     m = langid.train([text])
