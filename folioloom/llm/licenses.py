@@ -2,10 +2,11 @@
 
 Texts and templates are words of letters and digits, lower-cased. Templates fall into classes by their number of shingles;
 a class of m shingles reads windows of 2 * m shingles, one every m, so that whatever m neighbouring shingles a text has lie
-in one window. A window that holds CONTAINED of a template's shingles has a Jaccard similarity of at least CONTAINED /
-(3 - CONTAINED) to it; with one hash a band, BANDS bands miss it with a probability of (1 - that) ** BANDS, which is 0.03 %
-here. A window can only share a band with a template if it holds the shingle that has the template's least hash there, so
-texts without any of those shingles are dropped before windows are made; this loses nothing.
+in one window. A window with CONTAINED of a template's t shingles has a Jaccard similarity of at least
+CONTAINED * t / (2 * m + (1 - CONTAINED) * t) to it, where t is over m / 2: 0.19 or more. With one hash a band, BANDS bands
+miss it with a probability of (1 - that) ** BANDS, by computation 0.03 % at most. A window can only share a band with a
+template if it holds the shingle that has the template's least hash there, so texts without any of those shingles are
+dropped before windows are made; this loses nothing.
 
 Nulls: a null text has no words. Rows with no match give no row; repeated rows give one each. Only DataFrame functions run.
 """
@@ -17,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-N, BANDS, CONTAINED = 5, 18, 0.8
+N, BANDS, CONTAINED = 5, 40, 0.8
 #: Statements and headers of public licenses.
 TEMPLATES = {
     "mit-statement": "Released under the MIT License.",

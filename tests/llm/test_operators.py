@@ -275,6 +275,25 @@ def test_quality_keeps_documents_of_every_language(spark):
     assert all(got[i].kept for i, (x, _) in enumerate(rows) if x == "few")
 
 
+def test_license_bands_reach_the_stated_recall():
+    for text in licenses.TEMPLATES.values():
+        t = len(set(zip(*(licenses.words_of(text)[k:] for k in range(licenses.N)))))
+        window = 2 * licenses._class(t)
+        assert (1 - licenses.CONTAINED * t / (window + (1 - licenses.CONTAINED) * t)) ** licenses.BANDS <= 0.0003
+
+
+def test_license_scan_finds_all_placements(spark):
+    r = random.Random(4)
+    header = licenses.words_of(licenses.TEMPLATES["apache-2.0-header"])
+    filler = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for i in range(1500):
+        copy = ["other", *header[1:-1], "other"] if i % 2 else header
+        rows.append((i, " ".join([*filler(r.randint(0, 90)), *copy, *filler(60)])))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found.filter("license = 'apache-2.0-header'").count() >= 1499
+
+
 def test_licenses(spark):
     df = spark.createDataFrame([(1, "x y z\nReleased under the MIT License. more"), (2, "Licensed*** under the Apache License, Version 2.0"), (3, "no license here at all"), (4, None)], "doc_id long, text string")
     assert sorted((r.id, r.license) for r in licenses.scan(df).collect()) == [(1, "mit-statement"), (2, "apache-2.0-statement")]
