@@ -14,12 +14,13 @@ Nulls: a null text has no words. Rows with no match give no row; repeated rows g
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N, BANDS, CONTAINED = 5, 40, 0.8
-#: Statements and headers of public licenses.
+#: Statements, notices and usual wordings of public licenses, and the texts of license_texts under the names of their files.
 TEMPLATES = {
     "mit-statement": "Released under the MIT License.",
     "apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
@@ -31,6 +32,28 @@ TEMPLATES = {
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mit-licensed": "licensed under the MIT License",
+    "mit-terms": "under the terms of the MIT license",
+    "apache-2.0-terms": "under the terms of the Apache License, Version 2.0",
+    "bsd-licensed": "licensed under the BSD License",
+    "bsd-style": "governed by a BSD-style license that can be found in the LICENSE file",
+    "isc-licensed": "licensed under the ISC License",
+    "gpl-2.0-or-later-header": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl-3.0-or-later-header": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-statement": "licensed under the GNU General Public License",
+    "lgpl-statement": "licensed under the GNU Lesser General Public License",
+    "lgpl-header": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl-statement": "licensed under the GNU Affero General Public License",
+    "agpl-header": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "mpl-2.0-statement": "licensed under the Mozilla Public License",
+    "epl-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "cc-by-sa-4.0-statement": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-4.0-license": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nc-sa-4.0-statement": "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-sa-4.0-short": "licensed under CC BY-SA 4.0",
+    "cc-by-4.0-short": "licensed under CC BY 4.0",
+    "cc0-statement": "waived all copyright and related or neighboring rights",
+    **{f.stem: f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))},
 }
 
 

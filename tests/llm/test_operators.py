@@ -275,6 +275,12 @@ def test_quality_keeps_documents_of_every_language(spark):
     assert all(got[i].kept for i, (x, _) in enumerate(rows) if x == "few")
 
 
+def test_license_bodies_and_wordings(spark):
+    rows = [(1, "some words before " + licenses.TEMPLATES["gpl-2.0"]), (2, licenses.TEMPLATES["isc"] + " and after"), (3, "It is licensed under the MIT License, too"), (4, "under the ISC")]
+    found = {(r.id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found >= {(1, "gpl-2.0"), (2, "isc"), (3, "mit-licensed")} and not any(i == 4 for i, _ in found)
+
+
 def test_license_bands_reach_the_stated_recall():
     for text in licenses.TEMPLATES.values():
         t = len(set(zip(*(licenses.words_of(text)[k:] for k in range(licenses.N)))))
