@@ -15,36 +15,54 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, stage, text_groups
+from .common import small, stage, text_groups
 
 CAPACITY, CLOSING = 4096, 1
-#: Words whose ids a worker keeps, bytes of text encoded together, and what stands between words that are.
-CACHE, GROUP, MARK = 400_000, 1 << 20, "\x01"
-_word = re.compile(WORD)
+#: Words and pieces of words whose ids a worker keeps, bytes of text encoded together, and what stands between words that are.
+CACHE, GROUP, MARK = 150_000, 2 << 20, "\x01"
+_piece = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+_END = CLOSING.to_bytes(4, "little")
+#: The printable characters that stand for bytes in byte-level vocabularies: those of Latin-1 for themselves, the rest in
+#: order from U+0100.
+_printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _printable)}
 
 
 class Encoder:
-    """ids of texts, word by word: the tokenizer never joins symbols over white space, so a word's ids are its own. Words
-    that are not kept are encoded together, some hundred at a time, with a mark between them."""
+    """ids of texts, word by word: the tokenizer never joins symbols over white space, so a word's ids are its own. The
+    words of a group of texts are told apart in Arrow; each distinct one is encoded once, and its ids are gathered for all
+    its places. tokenizer: a file's path, or the bare name of a public tokenizer, which each worker looks up for itself."""
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads only add memory pools
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        if os.path.basename(tokenizer) == tokenizer:
+            import public_tokenizers
+
+            tokenizer = public_tokenizers.path(tokenizer)
+        self.tokenizer, self.known, self.cores = Tokenizer.from_file(tokenizer), ({}, {}), {}
+        self.model = self.tokenizer.model
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        # if the tokenizer takes a word's letters and the signs behind them as two pieces, the model alone can encode them
+        tests = ["house", "Housecat", "x", "well,", "zebra!?", "a_", "été", "Größe;"]
+        self.plain = all(self.pieces([w])[0] == self.whole([w])[w] for w in tests)
 
-    def words(self, new: list[str]) -> dict[str, bytes]:
+    def whole(self, new: list[str]) -> dict[str, bytes]:
+        """Words through the whole tokenizer, some hundred at a time, with a mark between them."""
         alone = [w for w in new if MARK in w] if len(self.mark) == 1 else new
         plain = [w for w in new if MARK not in w] if len(self.mark) == 1 else []
         out = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False))}
@@ -59,13 +77,60 @@ class Encoder:
                 at = end + 1
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words, known = [_word.findall(t) for t in texts], self.known
-        fresh = self.words(list({w for ws in words for w in ws if w not in known}))
-        if len(known) + len(fresh) <= CACHE:
-            known.update(fresh)
-        get, end = known.get, CLOSING.to_bytes(4, "little")
-        return [b"".join([get(w) or fresh.get(w, b"") for w in ws]) + end for ws in words]
+    def pieces(self, words: list[str]) -> list[bytes | None]:
+        """ids of words of letters, with or without signs behind them, by the model alone; None for other words."""
+        cores, tokenize, match, normal = self.cores, self.model.tokenize, _piece.fullmatch, unicodedata.is_normalized
+        out: list[bytes | None] = []
+        for word in words:
+            m = match(word.lower())
+            if not m:
+                out.append(None)
+                continue
+            core, signs = m.groups()
+            if not core.isascii():
+                if not core.isalpha() or max(core) >= "\u0250" or not normal("NFC", word):
+                    out.append(None)
+                    continue
+                core = core.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            ids = b""
+            for piece in (core, signs) if signs else (core,):
+                got = cores.get(piece)
+                if got is None:
+                    got = cores[piece] = array("I", [x.id for x in tokenize(piece)]).tobytes()
+                ids += got
+            out.append(ids)
+        if len(cores) > CACHE:
+            cores.clear()
+        return out
+
+    def words(self, new: list[str]) -> list[bytes]:
+        out = self.pieces(new) if self.plain else [None] * len(new)
+        rest = self.whole([w for w, ids in zip(new, out) if ids is None])
+        return [rest[w] if ids is None else ids for w, ids in zip(new, out)]
+
+    def __call__(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """ids of all texts, one behind the other, as bytes, and where each text's ids begin and the last one's end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        place, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # words are kept in two generations: the older one goes when the younger is full
+        young, old = self.known
+        found = list(map(young.get, distinct))
+        missing = [i for i, x in enumerate(found) if x is None]
+        names = [distinct[i] for i in missing]
+        ids = list(map(old.get, names))
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, self.words([names[i] for i in new])):
+            ids[i] = x
+        for i, x in zip(missing, ids):
+            found[i] = x
+        young.update(zip(names, ids))
+        if len(young) > CACHE:
+            self.known = {}, young
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ends = np.concatenate(([0], np.cumsum(size[place])))[bounds]
+        return b"".join(map(found.__getitem__, place.tolist())), ends
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -76,11 +141,14 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for some in text_groups(batch, 1, GROUP):
                 rows = []
-                for i, ids in enumerate(encode([t or "" for t in some.column(1).to_pylist()])):
-                    n = len(ids) // 4
+                raw, bounds = encode(some.column(1))
+                for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    n = hi - lo + 1  # the closing id is not in raw
                     for piece, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
-                        rows.append((i, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, ranks[length]))
+                        crc = zlib.crc32(raw[4 * (lo + start) : 4 * min(lo + start + length, hi)])
+                        crc = zlib.crc32(_END, crc) if start + length == n else crc
+                        rows.append((i, piece, start, length, crc, part, ranks[length]))
                         ranks[length] += 1
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()])]
                 yield pa.record_batch([some.column(0).take(cols[0]), *cols[1:]], names=["id", "piece", "start", "length", "ids_crc32", "part", "rank"])

@@ -79,9 +79,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    out = packing.pack(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    out = packing.pack(documents(spark, sf_dir).select("doc_id", "text"), "word_bpe_49k.json")
     return out.withColumnRenamed("id", "doc_id")
 
 
