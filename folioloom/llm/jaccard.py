@@ -4,17 +4,19 @@ Sets are arrays of 64-bit n-gram hashes in one global order: by hash, with the c
 fall together first (one representative a set). Then two rounds of candidate pairs are verified exactly:
 
 * MinHash bands link groups of near copies as stars around their smallest id, so that no group emits all its pairs.
-* Prefix filtering completes the join: two sets that link share one of their first n - ceil(t * n) + 1 n-grams, so every
-  pair with a shared prefix n-gram is a candidate, unless both are connected already (a component needs no second link) or
-  their sizes, the n-grams left behind the shared one, or parity bitmaps of the sets bound the overlap below what a link
-  needs.
+* Prefix filtering completes the join. Sets that link have a first n-gram in common, in the global order, that stands among
+  the first n - ceil(t * n) + 1 of both; what they share lies in it and behind it, so the shorter remainder bounds the
+  overlap. A pair is a candidate where an n-gram's positions leave room for a link, unless both are connected already (a
+  component needs no second link) or parity bitmaps of the sets exclude it. Groups of one n-gram with over BLOCK members
+  are dealt as blocks that meet pairwise in tasks of their own.
 
 Verification is a prefix-tree join: the partners of a probe set are kept in order, which is a trie's depth-first order; a
 partner starts from the overlap at its last common node with the one before, and a subtree is left as soon as the overlap
 so far and the n-grams left cannot reach the threshold. Components come from min-label propagation with pointer jumping.
 
 Nulls: a null text or one without words has an empty set and no link; a row with a null id links with nothing and has a null
-component. Rows that share an id are one document, linked with all that any of them is linked with.
+component. Rows that share an id are one document, linked with all that any of them is linked with. Very long texts are one
+set each, held in one task at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage
-from .words import parts, word_hashes
+from .common import small, stage, text_groups
+from .words import PART, word_hashes
 
 N, THRESHOLD = 5, (80, 100)
 BANDS, ROWS = 6, 4
@@ -37,8 +39,10 @@ BANDS, ROWS = 6, 4
 CELL, SHARE, FREQUENT = 22, 0.002, 200_000
 #: Bits of the smallest parity bitmap; larger sets have twice their size in bits, to the next power of two.
 BITMAP = 1024
-#: Ids that a side may have to be broadcast; partners of a probe in one task.
-IDS, PARTNERS = 500_000, 256
+#: Ids that a side may have to be broadcast; partners of a probe in one task, and bytes of them held at once.
+IDS, PARTNERS, HELD = 500_000, 256, 16 << 20
+#: Members of one prefix n-gram that meet in one task; prefix n-grams that are counted or rows that are paired at once.
+BLOCK, FLUSH = 2000, 100_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,10 +77,9 @@ def frequent(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(1 << CELL, dtype=np.int64), 0
         for b in batches:
-            texts = b.column(1).to_pylist()
-            n += len(texts)
-            for lo, hi in parts([t or "" for t in texts]):
-                hit, times = np.unique(np.concatenate(shingles(texts[lo:hi])) >> np.uint64(64 - CELL), return_counts=True)
+            n += b.num_rows
+            for some in text_groups(b, 1, PART):
+                hit, times = np.unique(np.concatenate(shingles(some.column(1).to_pylist())) >> np.uint64(64 - CELL), return_counts=True)
                 cells[hit.astype(np.int64)] += times
         top = np.flatnonzero(cells > max(1, SHARE * n))
         yield pa.record_batch([pa.array(top), pa.array(cells[top])], names=["cell", "n"])
@@ -149,13 +152,12 @@ def features(docs: DataFrame, last: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks(shared.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in parts([t or "" for t in texts]):
-                got = shingles(texts[lo:hi])
+            for some in text_groups(b, 1, PART):
+                got = shingles(some.column(1).to_pylist())
                 full = [x for x in got if len(x)]
                 keys = iter(bands(full).view(np.int64).tolist() if full else [])
                 cols = [
-                    b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in got], pa.int64()), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in got], pa.binary()),
+                    some.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in got], pa.binary()),
                     pa.array([next(keys) if len(x) else None for x in got], pa.list_(pa.int64())),
                     pa.array([ordered(x, rank)[: prefix_length(len(x))].view(np.int64) for x in got], pa.list_(pa.int64())),
                     pa.array([bitmap(x).tobytes() for x in got], pa.binary()),
@@ -184,9 +186,8 @@ def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in parts([t or "" for t in texts]):
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in shingles(texts[lo:hi])], pa.binary())], names=["id", "items"])
+            for some in text_groups(b, 1, PART):
+                yield pa.record_batch([some.column(0), pa.array([x.tobytes() for x in shingles(some.column(1).to_pylist())], pa.binary())], names=["id", "items"])
 
     return docs.join(small(ids, IDS), "id", "left_semi").mapInArrow(run, "id long, items binary")
 
@@ -235,7 +236,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     partners = pairs.join(held.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", F.lit(1).alias("partner"), "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, probe, names, waiting, a_out, b_out = None, [], [], [], [], []
+        key, probe, names, waiting, a_out, b_out, held = None, [], [], [], [], [], 0
 
         def work():
             for q in probe:
@@ -249,13 +250,15 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for a, salt, other, partner, items in zip(*(c.to_pylist() for c in b.columns)):
                 if (a, salt) != key:
                     work()
-                    key, probe = (a, salt), []
+                    key, probe, held = (a, salt), [], 0
                 x = np.frombuffer(items, dtype=np.uint64)
                 if partner:
                     names.append(other)
                     waiting.append(x)
-                    if len(waiting) >= PARTNERS:
+                    held += len(items)
+                    if len(waiting) >= PARTNERS or held > HELD:
                         work()
+                        held = 0
                 else:
                     probe.append(x)
             if len(a_out) > 10_000:
@@ -283,54 +286,112 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def hot_grams(nodes: DataFrame) -> DataFrame:
+    """The prefix n-grams that over BLOCK nodes hold, and into how many blocks each is split. Partitions count first, in
+    stretches of FLUSH n-grams and over; what one stretch has once only is left out, so that a group may be larger than it
+    counts here by one for each stretch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            g, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.record_batch([pa.array(g[times > 1]), pa.array(times[times > 1])], names=["g", "c"])
+
+        for b in batches:
+            held.append(b.column(0).flatten().to_numpy())
+            n += len(held[-1])
+            if n >= 10 * FLUSH:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+
+    counts = nodes.select("prefix").mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return counts.filter(F.col("c") > BLOCK).select("g", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+
+
+def group_pairs(g: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, ids: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs within each group of rows with one g, which stand together. Rows of sides 1 and 2 meet the other
+    side only."""
+    start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    size = np.diff(np.append(start, len(g)))
+    several = np.repeat(np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start), size)
+    if not several.any():
+        return
+    group = np.repeat(np.arange(len(start)), size)[several]
+    n, pos, ids, label, side = (x[several] for x in (n, pos, ids, label, side))
+    order = np.lexsort((n, group))
+    group, n, pos, ids, label, side = (x[order] for x in (group, n, pos, ids, label, side))
+    left = n - pos  # the n-gram and what lies behind it
+    num, den = THRESHOLD
+
+    def may(i, j):
+        need = -(-num * (n[i] + n[j]) // (num + den))
+        return (label[i] != label[j]) & ((side[i] == 0) | (side[i] != side[j])) & (np.minimum(left[i], left[j]) >= need)
+
+    first, size = np.unique(group, return_index=True, return_counts=True)[1:]
+    large = size > 256
+    for lo, m in zip(first[large].tolist(), size[large].tolist()):
+        # rows of the commonest label meet the others only, which are taken some at a time
+        rows = np.arange(lo, lo + m)
+        names, place, times = np.unique(label[rows], return_inverse=True, return_counts=True)
+        common = place == times.argmax()
+        for part in np.array_split(rows[~common], -(-int((~common).sum()) // 256)):
+            i, j = part[:, None], rows[None, :]
+            a, b = np.nonzero(may(i, j) & (common[None, :] | (i < j)))
+            yield ids[part[a]], ids[rows[b]]
+    i, d = np.flatnonzero(np.repeat(~large, size)), 1
+    while len(i):
+        # the partner d places behind: of the same group, and no larger than may link
+        i = i[i + d < len(group)]
+        i = i[(group[i + d] == group[i]) & (num * n[i + d] <= den * n[i])]
+        at = i[may(i, i + d)]
+        if len(at):
+            yield ids[at], ids[at + d]
+        d += 1
+
+
 def prefix_pairs(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes (id, label, n, prefix): they share a prefix n-gram, are not connected, and no bound on their
-    overlap excludes them."""
+    """Candidate pairs of nodes (id, label, n, prefix): they share a prefix n-gram, are not connected, and its positions in
+    both leave room for a link with nothing shared before."""
     rows = nodes.select("id", "label", "n", F.posexplode("prefix").alias("pos", "g"))
-    same = Window.partitionBy("g")
-    rows = rows.withColumn("low", F.min("label").over(same)).withColumn("high", F.max("label").over(same)).filter("low < high")
+    hot = stage(hot_grams(nodes), "jaccard-hot")
+    cell = F.lit(0).cast("long")
+    if hot.take(1):
+        # block x meets every block y: the cell of both, and on which side of it the row stands
+        rows = rows.join(small(hot), "g", "left").withColumn("x", F.coalesce(F.pmod(F.xxhash64("id"), F.col("blocks")), F.lit(0)))
+        rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+        side = F.when(F.col("x") == F.col("y"), 0).when(F.col("x") < F.col("y"), 1).otherwise(2)
+        cell = (F.least("x", "y").cast("long") * F.coalesce("blocks", F.lit(1)) + F.greatest("x", "y")) * 4 + side
+    rows = rows.select("g", cell.alias("cell"), "id", "label", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g_now, group = None, []
-
-        def pairs():
-            x = np.array(sorted(group), dtype=np.int64).reshape(-1, 4)  # n, id, label, position
-            n, ids, label, pos = x.T
-            for i in range(len(x) - 1):
-                # partners from the same size up to the largest that may link
-                end = np.searchsorted(n, n[i] * THRESHOLD[1] // THRESHOLD[0], side="right")
-                j = slice(i + 1, max(i + 1, end))
-                need = -(-THRESHOLD[0] * (n[i] + n[j]) // sum(THRESHOLD))
-                ok = (label[j] != label[i]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) + np.minimum(pos[i], pos[j]) >= need)
-                other, size = ids[j][ok], n[j][ok]
-                if len(other):
-                    yield np.minimum(other, ids[i]), np.maximum(other, ids[i]), np.full(len(other), n[i]), size
-
-        def batch(found):
-            cols = [np.concatenate(c) if c else np.empty(0, dtype=np.int64) for c in ([x[k] for x in found] for k in range(4))]
-            return pa.record_batch([pa.array(c) for c in cols], names=["a", "b", "small", "large"])
-
-        found: list = []
-        for b in batches:
-            for g, n, i, label, pos in zip(*(c.to_pylist() for c in b.columns)):
-                if g != g_now:
-                    found.extend(pairs())
-                    g_now, group = g, []
-                    if len(found) > 20_000:
-                        yield batch(found)
-                        found = []
-                group.append((n, i, label, pos))
-        found.extend(pairs())
-        yield batch(found)
-
-    rows = rows.select("g", "n", "id", "label", "pos").sortWithinPartitions("g")
-    found = rows.mapInArrow(run, "a long, b long, small long, large long").filter("a < b")
-    # What two sets share lies in both prefixes, or behind the prefix of one of them: behind a prefix lie
-    # ceil(t * n) - 1 n-grams, so that many more may be shared at most.
-    num, den = THRESHOLD
-    need = F.ceil(F.lit(num) * (F.col("small") + F.col("large")) / (num + den))
-    shared = found.groupBy("a", "b", "small", "large").agg(F.count("*").alias("c"))
-    return shared.filter(F.col("c") + F.ceil(F.lit(num) * F.col("large") / den) - 1 >= need - 1).select("a", "b").distinct()
+        def pairs(cols):
+            g, cell, ids, label, at = cols
+            key = np.cumsum(np.concatenate(([0], (g[1:] != g[:-1]) | (cell[1:] >> 2 != cell[:-1] >> 2))))
+            for a, b in group_pairs(key, cell & 3, at >> 32, at & 0xFFFFFFFF, ids, label):
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= FLUSH:
+                cols = [np.concatenate(c) for c in zip(*held)]
+                # the last group waits for the rest of its rows
+                end = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] >> 2 == cols[1][-1] >> 2)))
+                if end:
+                    yield from pairs([c[:end] for c in cols])
+                held, n = [[c[end:] for c in cols]], 0
+        if held:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            if len(cols[0]):
+                yield from pairs(cols)
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, F.col("g"), F.shiftright("cell", 2)).sortWithinPartitions("g", F.shiftright("cell", 2))
+    return rows.mapInArrow(run, "a long, b long").filter("a < b").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,17 +411,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     nodes = reps.select("id", "n", "prefix").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     more = stage(prefix_pairs(nodes), "jaccard-pairs")
     links = links.union(stage(verify(known, stage(may_link(more, once), "jaccard-pairs")), "jaccard-links"))
-    # rows that share an id, and copies, meet in their representatives
-    copies = full.select("id", "digest").join(first, "digest").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    label = components(links.union(copies))
+    # copies meet in their representatives, and so do the texts of rows that share an id
+    of = full.select("id", "digest").join(first, "digest").select("id", "rep")
+    shared = of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a")
+    links = links.union(of.join(shared, "id").filter("a < rep").select("a", F.col("rep").alias("b")))
+    label = components(links)
+    of = of.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    label = of.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("label"))
     return all_.select("id", "n").join(label, "id", "left").select("id", "n", F.coalesce("label", "id").alias("component"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose component has a smaller id; rows with a null id stay."""
-    found = stage(link(docs, id_col, text_col), "jaccard-components")
-    gone = stage(found.filter("id <> component").select(F.col("id").alias(id_col)).distinct(), "jaccard-gone")
-    out = docs.join(small(gone, IDS), id_col, "left_anti").select(docs.columns)
-    if found.filter("id is not null").groupBy("id").count().filter("count > 1").take(1):
-        out = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
-    return out
+    """docs with one row of each component: of the smallest id, a null one coming last, then of the smallest text hash.
+    Different texts that share an id are documents of their own here, and so are those without one; of rows equal in id and
+    text one stays. Rows without words go only where id and text repeat."""
+    known = (F.col(id_col).cast("long"), F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    odd = docs.groupBy(known[0].alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null").take(1)
+    if odd:
+        # numbers in the order of survival; written, so that they stay the same
+        numbers = docs.select(known[0].alias("__id"), known[1].alias("__digest")).distinct().orderBy(F.col("__id").asc_nulls_last(), "__digest")
+        numbers = stage(numbers.withColumn("__key", F.monotonically_increasing_id()), "jaccard-numbers")
+        own = docs.withColumn("__own", known[0]).withColumn("__hash", known[1])
+        own = own.join(numbers, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__digest")))
+        same = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
+        own = own.withColumn("__turn", F.row_number().over(same)).filter("__turn = 1")
+        docs_, key = stage(own.select("__key", *docs.columns), "jaccard-numbered"), "__key"
+    else:
+        docs_, key = docs, id_col
+    found = link(docs_, key, text_col)
+    gone = stage(found.filter("id <> component").select(F.col("id").alias(key)).distinct(), "jaccard-gone")
+    return docs_.join(small(gone, IDS), key, "left_anti").select(docs.columns)

@@ -97,27 +97,61 @@ def test_substring_dedup(docs):
     assert {r.kept for r in rows} == want and any(r.spans for r in rows)
 
 
-def test_jaccard(docs):
-    sets = []
-    for r in docs.collect():
-        w = WORD.findall((r.text or "").translate({c: c + 32 for c in range(65, 91)}))
-        sets.append((r.doc_id, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()))
-    top = {i: i for i, _ in sets if i is not None}
+def shingle_set(text):
+    w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def alike(a, b):
+    return bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+
+
+def united(names, links):
+    top = {i: i for i in names}
 
     def find(x):
         return x if top[x] == x else find(top[x])
 
-    for i, a in sets:
-        for j, b in sets:
-            if None not in (i, j) and a and b and 100 * len(a & b) >= 80 * len(a | b):
-                x, y = find(i), find(j)
-                top[max(x, y)] = min(x, y)
-    want = sorted((i, len(s), find(i) if i is not None else None) for i, s in sets if i is not None)
+    for i, j in links:
+        x, y = find(i), find(j)
+        top[max(x, y)] = min(x, y)
+    return {i: find(i) for i in names}
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_jaccard(docs, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    sets = [(r.doc_id, shingle_set(r.text)) for r in docs.collect()]
+    top = united({i for i, _ in sets if i is not None}, [(i, j) for i, a in sets for j, b in sets if None not in (i, j) and alike(a, b)])
+    want = sorted((i, len(s), top[i]) for i, s in sets if i is not None)
     got = jaccard.link(docs).collect()
     assert sorted((r.id, r.n, r.component) for r in got if r.id is not None) == want
     assert all(r.component is None for r in got if r.id is None) and len(got) == len(sets)
+
+
+def test_keep_first(docs):
+    rows = {(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    rows = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[2]))
+    sets = [shingle_set(t) for _, t, _ in rows]
+    top = united(range(len(rows)), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if alike(a, b)])
     kept = jaccard.keep_first(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, *(c for i, _, c in want)}
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((rows[i][:2] for i in top if top[i] == i), key=str)
+    once = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    assert {r.doc_id for r in jaccard.keep_first(once).collect()} == {r.component for r in jaccard.link(once).collect()}
+
+
+def test_group_pairs_of_large_and_small_groups():
+    r = np.random.default_rng(2)
+    g = np.sort(np.concatenate((np.zeros(400, dtype=np.int64), r.integers(1, 200, 900))))
+    n, side, label = r.integers(40, 70, len(g)), r.integers(0, 3, len(g)), np.where(r.random(len(g)) < 0.6, 0, r.integers(0, 9, len(g)))
+    pos, ids = r.integers(0, 12, len(g)), np.arange(len(g))
+    ok = lambda i, j: g[i] == g[j] and label[i] != label[j] and (side[i] == 0 or side[i] != side[j]) and min(n[i] - pos[i], n[j] - pos[j]) >= jaccard.needed(n[i], n[j])
+    small_first = lambda i, j: (i, j) if (n[i], i) <= (n[j], j) else (j, i)
+    want = {frozenset((i, j)) for i in ids for j in ids[i + 1 :] if g[i] == g[j] and ok(*small_first(i, j)) and ok(*reversed(small_first(i, j)))}
+    got = {frozenset(p) for a, b in jaccard.group_pairs(g, side, n, pos, ids, label) for p in zip(a.tolist(), b.tolist())}
+    maybe = {frozenset((i, j)) for i in ids for j in ids[i + 1 :] if g[i] == g[j] and (ok(i, j) or ok(j, i))}
+    assert want <= got <= maybe and len(want) > 100
 
 
 def test_trie_join_finds_every_link():
