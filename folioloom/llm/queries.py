@@ -19,6 +19,34 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _op1_sql() -> str:
+    """Each kind's text is cut at its matches, which then stand in the even pieces; chr(1) marks the cuts."""
+    kinds = " UNION ALL ".join(
+        f"SELECT row, {number} AS number, '{kind}' AS kind, string_split(regexp_replace(t, '{pattern.replace(chr(39), chr(39) * 2)}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM d"
+        for kind, number, _, pattern, _ in secrets.KINDS
+    )
+    assign = secrets.ASSIGN.replace("'", "''")
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+c AS ({kinds}),
+u AS (SELECT row, number, kind, unnest(p) AS m, unnest(range(len(p))) AS i FROM c WHERE len(p) > 1),
+e AS (SELECT *, sum(length(m)) OVER (PARTITION BY row, number ORDER BY i)::BIGINT AS z FROM u),
+h AS (SELECT row, number, kind, z - length(m) AS a, z, CASE WHEN number <= 3 THEN number IN (1, 3) ELSE number = 5 END AS secret, number IN (2, 4) AS named, number = 6 AS endpoint
+      FROM e WHERE i % 2 = 1 AND (number <> 1 OR length(regexp_extract(m, '{assign}', 2)) >= 6)
+        AND (number <> 5 OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')))),
+w AS (SELECT *, coalesce(max(z) FILTER (number <= 3) OVER b > a, false) OR coalesce(min(a) FILTER (number <= 3) OVER f < z, false) AS over_base,
+             coalesce(a - max(z) FILTER (secret) OVER b <= {secrets.REACH}, false) OR coalesce(min(a) FILTER (secret) OVER f - z <= {secrets.REACH}, false) AS near_secret,
+             coalesce(a - max(z) FILTER (named OR endpoint) OVER b <= {secrets.REACH}, false) OR coalesce(min(a) FILTER (named OR endpoint) OVER f - z <= {secrets.REACH}, false) AS near_other
+      FROM h WINDOW b AS (PARTITION BY row ORDER BY a, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                    f AS (PARTITION BY row ORDER BY a, number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT row, count(*) FILTER (number = 1) AS n1, count(*) FILTER (number = 2) AS n2, count(*) FILTER (number = 3) AS n3,
+             string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, number) FILTER (number <= 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, number) AS spans
+      FROM w WHERE number <= 3 OR (NOT over_base AND CASE WHEN secret THEN near_other ELSE near_secret END) GROUP BY row)
+SELECT doc_id, coalesce(n1, 0)::BIGINT AS n_assign, coalesce(n2, 0)::BIGINT AS n_access, coalesce(n3, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", F.col("source_size"), "target", "taken")
@@ -103,4 +131,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op3_exact_top_k": OP3_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op2_mix_sources": OP2_SQL, "op3_exact_top_k": OP3_SQL}

@@ -170,6 +170,58 @@ def test_secrets(spark):
     assert sorted(r.text or "" for r in secrets.redacted(df).collect())[-1].startswith("é𝒳")
 
 
+def brute_base(text):
+    """The base spans by Python's re, from the words of the contract."""
+    found = []
+    for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        found += [(m.start(), 1, "assign", m.end())] if len(m[2]) >= 6 else []
+    found += [(m.start(), 2, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(found + [(m.start(), 3, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def brute_spans(text):
+    base = brute_base(text)
+    weak = [(m.start(), n, k, m.end()) for k, n, _, p, h in secrets.KINDS[3:] for m in re.finditer(p, text) if k != "opaque" or all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    role = {k: r for k, _, r, _, _ in secrets.KINDS}
+    every, out = sorted(base + weak), list(base)
+    for s in weak:
+        if any(b[0] < s[3] and s[0] < b[3] for b in base):
+            continue
+        gap = lambda x: x[0] - s[3] if x[:2] > s[:2] else s[0] - x[3]
+        if any(x != s and role[x[2]] in secrets.COMPLETES[role[s[2]]] and gap(x) <= secrets.REACH for x in every):
+            out.append(s)
+    return sorted(out)
+
+
+def secret_texts():
+    r = random.Random(6)
+    bits = ["password = \"hunter22x\"", "token:abc", "Api_KEY='zzzz.zzzz'", "AKIA" + "Q7" * 8, "AKIASHORT", "deadbeef" * 4, "0123456789abcdef", "user_name: bob", "https://h.example/p?q=1", "Zm9vYmFyMTIz" * 3, "é𝒳ß", "secret=secret=secret99", "\x00", "plain words here", "x" * 230]
+    return ["".join(r.choice(bits) + r.choice([" ", "\n", ",", ""]) for _ in range(r.randint(0, 12))) for _ in range(200)] + [None, "", "é" * 50]
+
+
+def test_secrets_against_brute_force(spark):
+    texts = secret_texts()
+    df = spark.createDataFrame([(i % 190, t, "clash", "x") for i, t in enumerate(texts)], "doc_id long, text string, row string, spans string").repartition(3)
+    got = sorted((r.i, r.s) for r in secrets.spans(df).select(F.col("kept.doc_id").alias("i"), secrets.joined(F.col("spans")).alias("s")).collect())
+    assert got == sorted((i % 190, ",".join(f"{k}:{a}:{z}" for a, _, k, z in brute_spans(t or ""))) for i, t in enumerate(texts))
+    want = []
+    for i, t in enumerate(texts):
+        at, out = 0, ""
+        for a, _, _, z in brute_spans(t or ""):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, z)
+        want.append((i % 190, None if t is None else out + t[at:], "clash", "x"))
+    assert sorted(map(tuple, secrets.redacted(df).collect()), key=str) == sorted(want, key=str)
+    assert secrets.spans(df.limit(0)).count() == 0 and secrets.redacted(df.limit(0)).columns == df.columns
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "token = abcdef1 and then some words " * 40_000
+    df = spark.createDataFrame([(1, text), (2, "no secrets")], "doc_id long, text string")
+    assert sorted(r.n for r in secrets.spans(df).select(F.size("spans").alias("n")).collect()) == [0, 40_000]
+
+
 def test_mix(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 3 * r.size for r in rows)
