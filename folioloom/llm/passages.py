@@ -5,9 +5,13 @@
    which share their gram with other contexts only (contested: some of their windows may repeat).
 3. Contested anchors fetch their contexts from the texts and meet by gram again, where windows are compared one by one.
    Grams with over HOT contexts would gather too many rows in a task: their windows meet one by one, by window, after each
-   task has settled those that it has seen itself.
+   task has settled those that it has seen itself. Grams that are common in a sample of SAMPLE documents are dealt by gram
+   and context from the start, so that no task gathers one; the sample decides where rows meet, never what is found.
 4. The ranges found go back to the texts.
 
+Grams and contexts are told apart by 127 bits together, windows of one gram by 64 bits, of grams with many contexts by 64
+bits among all of these.
+
 A window's place in order is (document, start). Documents with equal ids are told apart by a number kept in the upper bits
 of positions (equal ids and equal texts are one document, repeated). A null id counts as the smallest.
 """
@@ -27,6 +31,8 @@ from .repeats import Hashes, LevelFamily, anchors, mix
 
 #: Contexts of one gram that are compared in one task; contexts and anchors that are handled at once.
 HOT, CHUNK, FLUSH = 1000, 4_000, 1_000_000
+#: Documents in which common grams are looked for, and in how many of them a common gram stands.
+SAMPLE, COMMON = 20_000, 20
 SHIFT = 40
 _PLACE = (1 << SHIFT) - 1
 NULL_ID = -(2**63)
@@ -81,7 +87,29 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _anchor_rows(tokens: Tokens, other: bool):
+def common_grams(texts: DataFrame, tokens: Tokens) -> np.ndarray:
+    """The anchors' grams that stand in at least COMMON of about SAMPLE documents; a few for each sampled text at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _some(batches):
+            stored, starts, lens = tokens(b.column("text").to_pylist())
+            h = Hashes(tokens.values(stored))
+            at = anchors(h, starts, lens, tokens.w, tokens.k)
+            d = np.searchsorted(starts, at, side="right") - 1
+            g = h(at, at + tokens.k)
+            order = np.lexsort((d, g))
+            g, d = g[order], d[order]
+            new = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))[: len(g)]
+            g, n = np.unique(g[new], return_counts=True)
+            yield _rows(g=g.view(np.int64), n=n)
+
+    share = F.lit(min(1.0, SAMPLE / max(1, texts.count())))
+    some = texts.filter(F.pmod(F.xxhash64("id", "r", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+    got = some.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).select("g").toPandas()
+    return np.sort(got["g"].to_numpy(np.int64).view(np.uint64))
+
+
+def _anchor_rows(tokens: Tokens, other: bool, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -91,7 +119,10 @@ def _anchor_rows(tokens: Tokens, other: bool):
             g, ctx, doc, pos, left, right = (x[order] for x in (g, ctx, doc, pos, left, right))
             seen = LevelFamily(other).add(g, ctx, doc, pos)
             new = ~seen
-            yield _rows(g=g[new].view(np.int64), ctx=ctx[new].astype(np.int64), id=doc[new], pos=pos[new], data=pa.nulls(int(new.sum()), pa.binary()))
+            # the last bit tells grams of their own from common ones, which are dealt by gram and context
+            hot = np.isin(g, common.value)
+            g = np.where(hot, mix(g ^ (ctx * np.uint64(31))), g) & ~np.uint64(1) | hot.astype(np.uint64)
+            yield _rows(g=g[new].view(np.int64), ctx=ctx[new].view(np.int64), id=doc[new], pos=pos[new], data=pa.nulls(int(new.sum()), pa.binary()))
             # what is settled only passes on: ranges of each document, dealt by document
             doc, r, pos = doc[seen], pos[seen] >> SHIFT, pos[seen] & _PLACE
             if len(doc):
@@ -108,7 +139,7 @@ def _anchor_rows(tokens: Tokens, other: bool):
                 d = np.searchsorted(starts, at, side="right") - 1
                 # the last text that starts there, where empty ones start there too, is the one with tokens
                 left, right = np.minimum(tokens.w - tokens.k, at - starts[d]), np.minimum(tokens.w, starts[d] + lens[d] - at)
-                ctx = mix(h(at - left, at + right) + (left * 1024 + right).astype(np.uint64)) >> np.uint64(33)
+                ctx = mix(h(at - left, at + right) + (left * 1024 + right).astype(np.uint64))
                 ids, r = (b.column(c).to_numpy() for c in ("id", "r"))
                 held.append((h(at, at + tokens.k), ctx, ids[d], at - starts[d] + (r[d] << SHIFT), left, right))
                 n += len(at)
@@ -138,7 +169,7 @@ def _index(other: bool):
         _, first, n = np.unique(g, return_index=True, return_counts=True)
         if len(g):
             several = np.maximum.reduceat(ctx, first) != np.minimum.reduceat(ctx, first)
-            what = np.repeat(np.where(several, np.where(n > HOT, 2, 1), 0), n)
+            what = np.where(g & np.uint64(1), 2, np.repeat(np.where(several, np.where(n > HOT, 2, 1), 0), n))
             keep = what > 0
             yield _rows(id=doc[keep], pos=pos[keep], g=g[keep].view(np.int64), what=what[keep].astype(np.int32), data=pa.nulls(int(keep.sum()), pa.binary()))
 
@@ -312,7 +343,8 @@ def remove(docs: DataFrame, tokens: Tokens, other: bool, finish: Callable, schem
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts, key = numbered(docs, id_col, text_col)
     dealt = texts.repartition(parts, *key)
-    found = texts.mapInArrow(_anchor_rows(tokens, other), "g long, ctx long, id long, pos long, data binary")
+    common = spark.sparkContext.broadcast(common_grams(texts, tokens))
+    found = texts.mapInArrow(_anchor_rows(tokens, other, common), "g long, ctx long, id long, pos long, data binary")
     found = found.repartition(parts, "g").sortWithinPartitions("id", "pos").mapInArrow(_index(other), "id long, pos long, g long, what int, data binary")
     marks = found.withColumn("r", F.shiftright("pos", SHIFT)).groupBy(*key).agg(F.collect_list(F.struct("pos", "g", "what", "data")).alias("marks"))
     open_ = dealt.join(marks, key, "left").select("id", "r", "text", "marks").mapInArrow(_contexts(tokens, other), "g long, kind int, id long, pos long, left int, data binary")

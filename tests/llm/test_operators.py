@@ -53,19 +53,6 @@ def ordered_documents(docs):
     return [(i, t) for i, t, _ in sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], x[2]))]
 
 
-def byte_removal(rows, n=100):
-    seen, out = set(), {}
-    for i, t in rows:
-        b = t.encode()
-        gone = np.zeros(len(b), dtype=bool)
-        for k in range(len(b) - n + 1):
-            if b[k : k + n] in seen:
-                gone[k : k + n] = True
-            seen.add(b[k : k + n])
-        out[i, t] = bytes(np.frombuffer(b, dtype=np.uint8)[~gone])
-    return out
-
-
 def word_removal(rows, n=50):
     first, out = {}, {}
     for i, t in rows:
@@ -82,19 +69,52 @@ def word_removal(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
-def test_suffix_dedup(docs, monkeypatch, hot):
+def removed_by_place(gone):
+    """Number of removed tokens and of their maximal runs."""
+    return int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+
+
+@pytest.mark.parametrize("hot,common", [(1000, 20), (1, 20), (1000, 2)])
+def test_suffix_dedup(docs, monkeypatch, hot, common):
     monkeypatch.setattr(passages, "HOT", hot)
-    want = sorted(hashlib.sha256(x).hexdigest() for x in byte_removal(ordered_documents(docs)).values())
-    rows = suffix_dedup.dedup(docs, finish=suffix_dedup.digest, schema="n_bytes long, n_removed long, n_spans long, kept_sha256 string").distinct().collect()
-    assert sorted({(r.id, r.kept_sha256) for r in rows}, key=str) and set(want) == {r.kept_sha256 for r in rows}
-    assert sum(r.n_removed for r in rows) > 1000
+    monkeypatch.setattr(passages, "COMMON", common)
+    rows, seen, want = ordered_documents(docs), set(), set()
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), dtype=bool)
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(b[k : k + 100])
+        want.add((i, len(b), *removed_by_place(gone), hashlib.sha256(bytes(np.frombuffer(b, dtype=np.uint8)[~gone])).hexdigest()))
+    got = suffix_dedup.dedup(docs, finish=suffix_dedup.digest, schema="n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    assert {tuple(r) for r in got} == want and len(got) == docs.count() and sum(x[2] for x in want) > 1000
 
 
-def test_substring_dedup(docs):
-    want = set(word_removal(ordered_documents(docs)).values())
-    rows = substring_dedup.dedup(docs).collect()
-    assert {r.kept for r in rows} == want and any(r.spans for r in rows)
+@pytest.mark.parametrize("hot,common", [(1000, 20), (1, 20), (1000, 2)])
+def test_substring_dedup(docs, monkeypatch, hot, common):
+    monkeypatch.setattr(passages, "HOT", hot)
+    monkeypatch.setattr(passages, "COMMON", common)
+    kept = word_removal(ordered_documents(docs))
+    want = {(i, len(WORD.findall(t)), len(WORD.findall(t)) - len(x.split(" ") if x else []), hashlib.sha256(x.encode()).hexdigest()) for (i, t), x in kept.items()}
+    got = substring_dedup.dedup(docs, finish=substring_dedup.digest, schema="n_words long, n_removed long, kept_sha256 string").collect()
+    assert {tuple(r) for r in got} == want and len(got) == docs.count() and sum(x[2] for x in want) > 100
+
+
+def test_passages_without_repeats_stay(spark):
+    """One phrase in many surroundings: nothing of 100 bytes or 50 words repeats."""
+    phrase = " ".join(f"common{k}" for k in range(20))
+    side = lambda name: F.concat_ws(" ", *[F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f"{name}{k}"))), 1, 5) for k in range(34)])
+    docs = spark.range(60_000).withColumnRenamed("id", "doc_id").select("doc_id", F.concat_ws(" ", side("a"), F.lit(phrase[:40]), side("b")).alias("text"))
+    out = suffix_dedup.dedup(docs, finish=suffix_dedup.digest, schema="n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    assert out.agg(F.sum("n_removed")).first()[0] == 0
+    docs = docs.select("doc_id", F.concat_ws(" ", side("a"), F.lit(phrase), side("b")).alias("text")).filter("doc_id < 20000")
+    out = substring_dedup.dedup(docs, finish=substring_dedup.digest, schema="n_words long, n_removed long, kept_sha256 string")
+    assert out.agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_passages_of_empty_tables(empty):
+    assert suffix_dedup.dedup(empty).count() == 0 and substring_dedup.dedup(empty).count() == 0
 
 
 def shingle_set(text):
