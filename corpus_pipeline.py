@@ -1,7 +1,8 @@
 """The corpus pipeline: language identification, near-duplicate removal, secret scans, source mixing and packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. SQL cannot
-express a stage (models, sets), so ORACLE_SQL is None and the tests hold each stage against a brute-force version.
+express a stage (models, sets), so ORACLE_SQL is None; tests/llm holds the stages against brute force and exact round trips.
+Nulls, empty and very long texts, repeated rows, ties and empty tables go through each stage as its operator defines.
 """
 
 from __future__ import annotations
@@ -37,9 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequences."""
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, "word_bpe_49k.json").withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
