@@ -190,7 +190,7 @@ def fit(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str =
 def limits(scored: DataFrame, ids: DataFrame) -> DataFrame:
     """__of (language), __low, __high (bands of lengths, from low to below high) and __limit in bits a symbol."""
     known = scored.filter((F.crc32(F.col("__id").cast("string")) % 4 != 2) & F.col("__own").isNotNull()).join(small(ids), "__id", "left_anti")
-    band = known.groupBy(F.col("__lang").alias("__of"), F.col("__band").alias("__low"))
+    band = known.groupBy(F.col("__told").alias("__of"), F.col("__band").alias("__low"))
     found = band.agg(F.count("*").alias("c"), F.percentile_approx("__own", [0.25, 0.5]).alias("q")).filter(F.col("c") >= MIN_DOCS)
     order = Window.partitionBy("__of").orderBy("__low")
     low = F.when(F.row_number().over(order) == 1, 0).otherwise(F.col("__low")).alias("__low")
@@ -230,8 +230,8 @@ def identify(
             bits = [pa.array(x, from_pandas=True) for x in (low, own)]
             yield pa.record_batch([*b.columns[:-1], pa.array(langs[best].tolist(), pa.string()), pa.array(score), *bits, band], names=out)
 
-    out = [*keep, "__id", "__lang", *names[:2], "__bits", "__own", "__band"]
-    slim = docs.select(*keep, F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__text"))
+    out = [*keep, "__id", "__told", *names[:2], "__bits", "__own", "__band"]
+    slim = docs.select(*keep, F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__told"), F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("__text").schema)
     scored = stage(slim.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double, __bits double, __own double, __band int"), "langid-scored")
     lim = stage(limits(scored, ids), "langid-limits")
