@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage, text_groups
+from .common import lean, small, stage, text_groups
 from .words import PART, word_hashes
 
 N, THRESHOLD = 5, (80, 100)
@@ -84,7 +84,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
         top = np.flatnonzero(cells > max(1, SHARE * n))
         yield pa.record_batch([pa.array(top), pa.array(cells[top])], names=["cell", "n"])
 
-    got = docs.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(FREQUENT).toPandas()
+    got = docs.mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(FREQUENT).toPandas()
     return got["cell"].to_numpy(np.int64)[::-1]
 
 
@@ -164,7 +164,7 @@ def features(docs: DataFrame, last: np.ndarray) -> DataFrame:
                 ]
                 yield pa.record_batch(cols, names=["id", "n", "digest", "bands", "prefix", "bitmap"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, bands array<long>, prefix array<long>, bitmap binary")
+    return docs.mapInArrow(lean(run), "id long, n long, digest binary, bands array<long>, prefix array<long>, bitmap binary")
 
 
 def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 ok = (na + nb - bits_apart(xa, xb)) // 2 >= -(-THRESHOLD[0] * (na + nb) // sum(THRESHOLD))
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for some in text_groups(b, 1, PART):
                 yield pa.record_batch([some.column(0), pa.array([x.tobytes() for x in shingles(some.column(1).to_pylist())], pa.binary())], names=["id", "items"])
 
-    return docs.join(small(ids, IDS), "id", "left_semi").mapInArrow(run, "id long, items binary")
+    return docs.join(small(ids, IDS), "id", "left_semi").mapInArrow(lean(run), "id long, items binary")
 
 
 def trie_join(probe: np.ndarray, partners: list[np.ndarray], t: tuple[int, int] = THRESHOLD, step: int = 64) -> list[int]:
@@ -269,7 +269,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = probes.unionByName(partners).repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "partner")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def hot_grams(nodes: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    counts = nodes.select("prefix").mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    counts = nodes.select("prefix").mapInArrow(lean(count), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
     return counts.filter(F.col("c") > BLOCK).select("g", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
 
 
@@ -391,7 +391,7 @@ def prefix_pairs(nodes: DataFrame) -> DataFrame:
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, F.col("g"), F.shiftright("cell", 2)).sortWithinPartitions("g", F.shiftright("cell", 2))
-    return rows.mapInArrow(run, "a long, b long").filter("a < b").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").filter("a < b").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

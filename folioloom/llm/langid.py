@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage
+from .common import lean, small, stage
 
 UNKNOWN = "und"
 ORDER = 4
@@ -233,7 +233,7 @@ def identify(
     out = [*keep, "__id", "__told", *names[:2], "__bits", "__own", "__band"]
     slim = docs.select(*keep, F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__told"), F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("__text").schema)
-    scored = stage(slim.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double, __bits double, __own double, __band int"), "langid-scored")
+    scored = stage(slim.mapInArrow(lean(run), f"{kinds}, {names[0]} string, {names[1]} double, __bits double, __own double, __band int"), "langid-scored")
     lim = stage(limits(scored, ids), "langid-limits")
     at = (F.col(names[0]) == F.col("__of")) & (F.col("__band") >= F.col("__low")) & (F.col("__band") < F.col("__high"))
     rejected = F.col("__bits").isNull() | F.coalesce(F.col("__bits") > F.col("__limit"), F.lit(False))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stage, text_groups
+from .common import lean, small, stage, text_groups
 
 CAPACITY, CLOSING = 4096, 1
 #: Words and pieces of words whose ids a worker keeps, bytes of text encoded together, and what stands between words that are.
@@ -155,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return slim.mapInArrow(lean(cut), f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -236,4 +236,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     ranked = cut.join(small(base.drop("n")), ["length", "part"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    return ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

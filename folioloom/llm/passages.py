@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
 from .repeats import Hashes, LevelFamily, anchors, mix
 
 #: Contexts of one gram that are compared in one task; contexts and anchors that are handled at once.
@@ -105,7 +106,7 @@ def common_grams(texts: DataFrame, tokens: Tokens) -> np.ndarray:
 
     share = F.lit(min(1.0, SAMPLE / max(1, texts.count())))
     some = texts.filter(F.pmod(F.xxhash64("id", "r", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    got = some.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).select("g").toPandas()
+    got = some.mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).select("g").toPandas()
     return np.sort(got["g"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -344,11 +345,11 @@ def remove(docs: DataFrame, tokens: Tokens, other: bool, finish: Callable, schem
     texts, key = numbered(docs, id_col, text_col)
     dealt = texts.repartition(parts, *key)
     common = spark.sparkContext.broadcast(common_grams(texts, tokens))
-    found = texts.mapInArrow(_anchor_rows(tokens, other, common), "g long, ctx long, id long, pos long, data binary")
-    found = found.repartition(parts, "g").sortWithinPartitions("id", "pos").mapInArrow(_index(other), "id long, pos long, g long, what int, data binary")
+    found = texts.mapInArrow(lean(_anchor_rows(tokens, other, common)), "g long, ctx long, id long, pos long, data binary")
+    found = found.repartition(parts, "g").sortWithinPartitions("id", "pos").mapInArrow(lean(_index(other)), "id long, pos long, g long, what int, data binary")
     marks = found.withColumn("r", F.shiftright("pos", SHIFT)).groupBy(*key).agg(F.collect_list(F.struct("pos", "g", "what", "data")).alias("marks"))
-    open_ = dealt.join(marks, key, "left").select("id", "r", "text", "marks").mapInArrow(_contexts(tokens, other), "g long, kind int, id long, pos long, left int, data binary")
-    ranges = open_.repartition(parts, "g").sortWithinPartitions("kind", "g", "id", "pos").mapInArrow(_resolve(tokens, other, compare), "id long, r long, data binary")
+    open_ = dealt.join(marks, key, "left").select("id", "r", "text", "marks").mapInArrow(lean(_contexts(tokens, other)), "g long, kind int, id long, pos long, left int, data binary")
+    ranges = open_.repartition(parts, "g").sortWithinPartitions("kind", "g", "id", "pos").mapInArrow(lean(_resolve(tokens, other, compare)), "id long, r long, data binary")
     ranges = ranges.groupBy(*key).agg(F.collect_list("data").alias("ranges"))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,4 +363,4 @@ def remove(docs: DataFrame, tokens: Tokens, other: bool, finish: Callable, schem
             yield pa.record_batch([pa.array([None if i == NULL_ID else i for i in ids], pa.int64()), *(cols.column(c).combine_chunks() for c in names)], names=["id", *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
-    return dealt.join(ranges, key, "left").select("id", "text", "ranges").mapInArrow(last, f"id long, {schema}")
+    return dealt.join(ranges, key, "left").select("id", "text", "ranges").mapInArrow(lean(last), f"id long, {schema}")

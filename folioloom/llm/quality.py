@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, stage
+from .common import WORD, lean, small, stage
 
 CLASSES = ("lower", "upper", "other_letter", "mark", "digit", "punctuation", "symbol", "space", "control")
 #: Common words of a language, and the letters that such a word may have.
@@ -233,7 +233,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    measured = slim.mapInArrow(run, f"id {kind}, lang string, {SCHEMA}, near string, own_class double, own_word double")
+    measured = slim.mapInArrow(lean(run), f"id {kind}, lang string, {SCHEMA}, near string, own_class double, own_word double")
     measured = stage(measured, "quality-measured").withColumn("band", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
     lim = stage(limits(measured), "quality-limits").withColumnRenamed("near", "of")
     at = (F.col("near") == F.col("of")) & (F.col("band") >= F.col("low")) & (F.col("band") < F.col("high"))
