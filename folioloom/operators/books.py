@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, natural_key, quantile
 
 
-def resolve(images: DataFrame, overrides: DataFrame, keys: list[str], options: dict) -> DataFrame:
+def resolve(images: DataFrame, overrides: DataFrame, keys: list[str], options: dict, flattened: str | None = None) -> DataFrame:
     """Images with their manual overrides (a left join), each option resolved: override, else option; skipped images go.
 
-    A forced flattening switches it on against the options; line dewarping without an override follows the option only
-    where the page is not flattened.
+    A forced flattening switches it on against the options. Line dewarping without an override follows the option only where
+    the page was not flattened: what the column flattened of images says, else what is asked for. unwarp_curl and content
+    pass on where overrides have them.
     """
     o = images.join(overrides, keys, "left").filter(~F.coalesce("skip", F.lit(False)))
     flat = F.coalesce("unwarp", F.lit(options["unwarp"]))
     split = F.when(F.col("split_mode") == "none", "none").when(F.col("split_mode") == "at", "at").when(F.lit(options["split"]), "auto").otherwise("none")
+    done = F.coalesce(F.col(flattened), F.lit(False)) if flattened else flat
     return o.select(
         *images.columns, F.coalesce("rotate", F.lit(options["rotate"])).alias("rotate"), flat.alias("unwarp"), split.alias("split"),
-        F.when(split == "at", clamp(F.col("split_at"), 0.0, 1.0)).alias("split_at"), F.coalesce("dewarp", ~flat & F.lit(options["dewarp"])).alias("dewarp"),
+        F.when(split == "at", clamp(F.col("split_at"), 0.0, 1.0)).alias("split_at"), F.coalesce("dewarp", ~done & F.lit(options["dewarp"])).alias("dewarp"),
+        *[c for c in ("unwarp_curl", "content") if c in overrides.columns],
     )
 
 
@@ -65,15 +69,40 @@ def first_of_each(rows: DataFrame, key: str, order: list) -> DataFrame:
 
 
 def output_names(books: DataFrame, name: str, order: list) -> DataFrame:
-    """name.pdf for the first book of a name (without case), then name (2).pdf and so on."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(*order))
-    return books.withColumn("n", n).withColumn("output", F.concat(F.col(name), F.when(F.col("n") > 1, F.format_string(" (%d)", "n")).otherwise(""), F.lit(".pdf"))).drop("n")
+    """books with output: name.pdf for the first book of a name (without case), then name (2).pdf and so on, the first one
+    that no book before it has taken. Only names that can clash with numbered ones are settled one after the other."""
+    family = F.lower(F.regexp_replace(name, r"( \(\d+\))+$", ""))
+    all_ = Window.partitionBy("__family")
+    rows = books.withColumn("__family", family).withColumn("__odd", F.max(F.lower(name) != F.col("__family")).over(all_))
+    rows = rows.withColumn("__turn", F.row_number().over(all_.orderBy(*order)))
+    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy("__turn"))
+    plain = rows.filter(~F.col("__odd")).withColumn("__n", n)
+    plain = plain.withColumn("output", F.concat(F.col(name), F.when(F.col("__n") > 1, F.format_string(" (%d)", "__n")).otherwise("")))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        taken, last, out = set(), {}, []
+        group = group.sort_values("__turn")
+        for own in group[name]:
+            n = last.get(own.lower(), 1)
+            full = own if n == 1 else f"{own} ({n})"
+            while full.lower() in taken:
+                n += 1
+                full = f"{own} ({n})"
+            last[own.lower()] = n
+            taken.add(full.lower())
+            out.append(full)
+        return group.assign(output=out)
+
+    odd = rows.filter("__odd")
+    odd = odd.groupBy("__family").applyInPandas(settle, odd.withColumn("output", F.lit("")).schema)
+    both = plain.drop("__n").unionByName(odd).drop("__family", "__odd", "__turn")
+    return both.withColumn("output", F.concat("output", F.lit(".pdf")))
 
 
 def next_numbers(files: DataFrame, book: str, file: str) -> DataFrame:
-    """book, and the number that its next uploaded file gets: one above the largest numeric stem."""
-    stem = F.regexp_extract(file, r"^([0-9]+)\.[^.]+$", 1)
-    return files.groupBy(book).agg((F.coalesce(F.max(F.when(stem != "", stem.cast("long"))), F.lit(0)) + 1).alias("next"))
+    """book, and the number that its next uploaded file gets: one above the largest numeric stem of 32 bits."""
+    stem = F.regexp_extract(file, r"^([0-9]+)\.[^.]+$", 1).try_cast("long")
+    return files.groupBy(book).agg((F.coalesce(F.max(F.when(stem < 1 << 32, stem)), F.lit(0)) + 1).alias("next"))
 
 
 def asof_line(probes: DataFrame, knots: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -86,7 +115,8 @@ def asof_line(probes: DataFrame, knots: DataFrame, key: str, at: str, value: str
     knot = F.when(F.col("__probe") == 0, F.struct(F.col(at).alias("t"), F.col("__v").alias("v")))
     order = Window.partitionBy(key).orderBy(at, "__probe")
     both = both.withColumn("__a", F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__b", F.first(knot, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(key).orderBy(F.desc(at), F.desc("__probe"))  # from behind, so that each row adds one
+    both = both.withColumn("__b", F.last(knot, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     gap = F.col("__b.t") - F.col("__a.t")
     share = F.when(gap < 1e-6, 0.5).otherwise((F.col(at) - F.col("__a.t")) / gap)
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * share

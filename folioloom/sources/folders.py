@@ -19,7 +19,7 @@ from folioloom.functions.scalars import is_image, natural_key, parent, tree_key
 BROADCAST_ROWS, HEAD = 100_000, 1 << 16
 
 
-def _below(path: Column, root: str) -> Column:
+def below(path: Column, root: str) -> Column:
     """The path below root, without the scheme of the file system."""
     plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
     return F.substr(F.url_decode(F.replace(plain(path), F.lit("+"), F.lit("%2B"))), F.length(plain(F.lit(root.rstrip("/")))) + 2)
@@ -33,7 +33,7 @@ def images(spark: SparkSession, root: str, exclude: str | None = None, recursive
 
 def listed(found: DataFrame, root: str, exclude: str | None = None) -> DataFrame:
     """The same of a relation of files, which may be a stream."""
-    rows = found.select("path", _below(F.col("path"), root).alias("rel"), F.col("length").alias("length"), F.col("modificationTime").alias("modified"))
+    rows = found.select("path", below(F.col("path"), root).alias("rel"), F.col("length").alias("length"), F.col("modificationTime").alias("modified"))
     rows = rows.select("path", F.when(F.contains("rel", F.lit("/")), parent(F.col("rel"))).otherwise("").alias("book"), F.substring_index("rel", "/", -1).alias("file"), "length", "modified")
     rows = rows.filter(is_image(F.col("file")) & ~F.col("book").rlike("(^|/)[_.]"))
     if exclude is not None:
@@ -114,6 +114,6 @@ def pages(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
     raw = raw.select(F.col("origin").alias("path"), "width", "height", "nChannels", "data").join(heads, "path", "left")
     out = raw.withColumn("orientation", F.coalesce("orientation", F.lit(1))).mapInArrow(_upright, "path string, width int, height int, channels int, data binary")
-    rel = _below(F.col("path"), root)
+    rel = below(F.col("path"), root)
     out = out.withColumn("book", F.when(F.contains(rel, F.lit("/")), parent(rel)).otherwise("")).withColumn("file", F.substring_index(rel, "/", -1))
     return out.filter(is_image(F.col("file")) & ~F.col("book").rlike("(^|/)[_.]")).select("path", "book", "file", "width", "height", "channels", "data")
