@@ -152,7 +152,7 @@ def gutter(img: np.ndarray, half_width: float = 0.15) -> int | None:
     empty = 1 - ink[x] / max(float(ink[x].max()), 1e-9)
     dark = np.clip((wide[x] - light[x]) / 40, 0, 1)
     score = (empty + dark) * (1 - np.abs(x / w - 0.5) / half_width * 0.3)
-    return int((int(x[score.argmax()]) + 0.5) / scale + 0.5)
+    return int((int(x[np.round(score, 9).argmax()]) + 0.5) / scale + 0.5)
 
 
 def skew(img: np.ndarray, most: float = 5.0) -> float | None:
