@@ -187,28 +187,34 @@ def skew(img: np.ndarray, most: float = 5.0) -> float | None:
     return upright if b > 1.1 * a else level
 
 
-def rotate(img: np.ndarray, degrees: float, rows: int = 256) -> np.ndarray:
-    """The page turned clockwise about its centre by cubic interpolation; what comes from outside is white."""
+def warp(img: np.ndarray, width: int, height: int, source, repeat: bool, rows: int = 256) -> np.ndarray:
+    """A page of this size whose pixels come, by cubic interpolation, from source(x, y) in img. What lies outside repeats
+    the edge or is white."""
     h, w = img.shape[:2]
-    s, c = np.sin(np.radians(degrees)), np.cos(np.radians(degrees))
-    out, px = np.full_like(img, 255), img.astype(np.float32)
+    out, px = np.full((height, width, img.shape[2]), 255, dtype=np.uint8), img.astype(np.float32)
 
     def cubic(p, t):
         return p[1] + 0.5 * t * (p[2] - p[0] + t * (2 * p[0] - 5 * p[1] + 4 * p[2] - p[3] + t * (3 * (p[1] - p[2]) + p[3] - p[0])))
 
-    for top in range(0, h, rows):
-        y, x = np.mgrid[top : min(top + rows, h), 0:w].astype(np.float32)
-        dx, dy = x - w / 2, y - h / 2
-        sx, sy = c * dx + s * dy + w / 2, c * dy - s * dx + h / 2
+    for top in range(0, height, rows):
+        y, x = np.mgrid[top : min(top + rows, height), 0:width].astype(np.float32)
+        sx, sy = source(x, y)
         x0, y0 = np.floor(sx).astype(np.int64) - 1, np.floor(sy).astype(np.int64) - 1
-        inside = (x0 >= 0) & (y0 >= 0) & (x0 + 3 < w) & (y0 + 3 < h)
+        inside = np.full(x0.shape, True) if repeat else (x0 >= 0) & (y0 >= 0) & (x0 + 3 < w) & (y0 + 3 < h)
         fx, fy = ((v - np.floor(v))[inside][:, None].astype(np.float32) for v in (sx, sy))
-        x0, y0 = x0[inside], y0[inside]
-        lines = [cubic([px[y0 + j, x0 + i] for i in range(4)], fx) for j in range(4)]
-        out[top : top + rows][inside] = to_bytes(cubic(lines, fy))
+        xs, ys = ([np.clip(v[inside] + i, 0, n - 1) for i in range(4)] for v, n in ((x0, w), (y0, h)))
+        out[top : top + rows][inside] = to_bytes(cubic([cubic([px[b, a] for a in xs], fx) for b in ys], fy))
     return out
 
 
+def rotate(img: np.ndarray, degrees: float) -> np.ndarray:
+    """The page turned clockwise about its centre."""
+    h, w = img.shape[:2]
+    s, c = np.sin(np.radians(degrees)), np.cos(np.radians(degrees))
+    back = lambda x, y: (c * (x - w / 2) + s * (y - h / 2) + w / 2, c * (y - h / 2) - s * (x - w / 2) + h / 2)
+    return warp(img, w, h, back, False)
+
+
 def deskew(img: np.ndarray, least: float = 0.05) -> tuple[np.ndarray, float | None, bool]:
     """The page upright, the angle found and whether it was turned."""
     angle = skew(img)
@@ -217,8 +223,9 @@ def deskew(img: np.ndarray, least: float = 0.05) -> tuple[np.ndarray, float | No
     return rotate(img, -angle), angle, True
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """left, top, width, height and area of each group of touching pixels (corners included), from runs along the rows."""
+def runs(mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    """row, start, end and component of each run of pixels along a row, and left, top, width, height and area of each
+    component: pixels touch at their corners too."""
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     (row, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
     n, span = len(row), mask.shape[1] + 2
@@ -245,7 +252,28 @@ def components(mask: np.ndarray) -> np.ndarray:
     np.minimum.at(top, of, row)
     np.maximum.at(right, of, end)
     np.maximum.at(bottom, of, row + 1)
-    return np.stack((left, top, right - left, bottom - top, np.bincount(of, weights=end - start, minlength=k).astype(np.int64)), axis=1)
+    area = np.bincount(of, weights=end - start, minlength=k).astype(np.int64)
+    return row, start, end, of, np.stack((left, top, right - left, bottom - top, area), axis=1)
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    return runs(mask)[4]
+
+
+def close_across(mask: np.ndarray, width: int) -> np.ndarray:
+    """Dilation along the rows over [x - a, x - a + width - 1], a being half the width, then the mirrored erosion; what lies
+    outside the page is ignored."""
+    width = max(width, 1)
+    a, n = width // 2, mask.shape[1]
+
+    def count(m, before, behind):
+        total = np.pad(np.cumsum(m, axis=1, dtype=np.int32), ((0, 0), (1, 0)))
+        lo, hi = np.maximum(np.arange(n) - before, 0), np.minimum(np.arange(n) + behind, n - 1) + 1
+        return total[:, hi] - total[:, lo], hi - lo
+
+    wide = count(mask, a, width - 1 - a)[0] > 0
+    found, of = count(wide, width - 1 - a, a)
+    return found == of
 
 
 def content_box(img: np.ndarray, ink_below: int = 160) -> tuple[int, int, int, int] | None:

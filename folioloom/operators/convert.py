@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.functions import jpeg, rasters
+from folioloom.functions import jpeg, lines, rasters
 from folioloom.functions.scalars import natural_key
 from folioloom.sources import folders, overrides, pdf
 from folioloom.sources.work import kept
@@ -23,11 +23,11 @@ from . import books
 
 #: The box of a page (A4 at 300 dpi) and what is done unless options say otherwise.
 OPTIONS = {
-    "page_box": (2480, 3508), "rotate": 0, "unwarp": False, "split": True, "min_aspect": 1.15, "deskew": True, "dewarp": False,
+    "page_box": (2480, 3508), "rotate": 0, "unwarp": False, "split": True, "min_aspect": 1.15, "deskew": True, "dewarp": True,
     "illumination": True, "layout": True, "margin": 0.05, "ink_below": 160, "quality": 85, "dpi": 300.0, "auto_grey": True, "max_pages": None,
 }
 _BOX = "struct<x:bigint,y:bigint,w:bigint,h:bigint>"
-PAGE = f"book string, file string, half tinyint, width int, height int, gutter_x int, angle double, deskewed boolean, box {_BOX}, error string, data binary"
+PAGE = f"book string, file string, half tinyint, width int, height int, gutter_x int, angle double, deskewed boolean, straightened boolean, bend double, box {_BOX}, error string, data binary"
 
 
 def halves(img: np.ndarray, split: str, at: float | None, options: dict) -> tuple[list[np.ndarray], int | None]:
@@ -41,24 +41,27 @@ def halves(img: np.ndarray, split: str, at: float | None, options: dict) -> tupl
     return ([img[:, :x], img[:, x:]], x) if x is not None and 0 < x < w else ([img], None)
 
 
-def one_page(img: np.ndarray, box: dict | None, options: dict) -> tuple[np.ndarray, dict]:
-    """A page fitted, turned upright and evenly lit, with what was found on the way. box: a manual one, in shares."""
+def one_page(img: np.ndarray, box: dict | None, dewarp: bool, options: dict) -> tuple[np.ndarray, dict]:
+    """A page fitted, turned upright, straightened and evenly lit, with what was found on the way. box: a manual one."""
     img = rasters.fit(img, *options["page_box"])
     angle, applied = None, False
     if options["deskew"]:
         img, angle, applied = rasters.deskew(img)
+    straight, bend = False, None
+    if dewarp:
+        img, straight, bend = lines.straighten(img)
     if options["illumination"]:
         img = rasters.even_light(img)
     found = rasters.content_box(img, options["ink_below"]) if options["layout"] and not box else None
-    return img, {"angle": angle, "deskewed": applied, "box": dict(zip("xywh", found)) if found else None}
+    return img, {"angle": angle, "deskewed": applied, "straightened": straight, "bend": bend, "box": dict(zip("xywh", found)) if found else None}
 
 
 def process(images: DataFrame, options: dict | None = None) -> DataFrame:
-    """PAGE rows of images (book, file, width, height, data, and rotate, split, split_at, content as resolve gives them)."""
+    """PAGE rows of images (book, file, width, height, data, and rotate, split, split_at, dewarp, content as resolve gives them)."""
     options = OPTIONS | (options or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("book", pa.string()), ("file", pa.string()), ("half", pa.int8()), ("width", pa.int32()), ("height", pa.int32()), ("gutter_x", pa.int32()), ("angle", pa.float64()), ("deskewed", pa.bool_()), ("box", pa.struct([(c, pa.int64()) for c in "xywh"])), ("error", pa.string()), ("data", pa.binary())])
+        schema = pa.schema([("book", pa.string()), ("file", pa.string()), ("half", pa.int8()), ("width", pa.int32()), ("height", pa.int32()), ("gutter_x", pa.int32()), ("angle", pa.float64()), ("deskewed", pa.bool_()), ("straightened", pa.bool_()), ("bend", pa.float64()), ("box", pa.struct([(c, pa.int64()) for c in "xywh"])), ("error", pa.string()), ("data", pa.binary())])
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):  # one image at a time: rasters are large
                 try:
@@ -66,13 +69,13 @@ def process(images: DataFrame, options: dict | None = None) -> DataFrame:
                     parts, x = halves(np.rot90(img, -(row["rotate"] // 90 % 4)), row["split"], row["split_at"], options)
                     for half, part in enumerate(parts):
                         manual = dict(row["content"] or {}).get(half)
-                        out, found = one_page(part, manual, options)
+                        out, found = one_page(part, manual, row["dewarp"], options)
                         page = {"book": row["book"], "file": row["file"], "half": half if len(parts) > 1 else None, "width": out.shape[1], "height": out.shape[0], "gutter_x": x, "error": None, "data": out.tobytes()}
                         yield pa.RecordBatch.from_pylist([page | found], schema)
                 except (ValueError, TypeError, MemoryError) as e:
                     yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | {"book": row["book"], "file": row["file"], "error": str(e)}], schema)
 
-    cols = images.select("book", "file", "width", "height", "data", "rotate", "split", "split_at", "content")
+    cols = images.select("book", "file", "width", "height", "data", "rotate", "split", "split_at", "dewarp", "content")
     pages = cols.mapInArrow(run, PAGE)
     if not options["layout"]:
         return pages

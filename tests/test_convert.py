@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions import jpeg, rasters
+from folioloom.functions import lines as straight
 from folioloom.operators import books, convert
 from folioloom.sources import overrides
 from test_sources import png
@@ -80,6 +81,37 @@ def test_components_against_flood_fill():
     assert len(rasters.components(np.zeros((5, 5), dtype=bool))) == 0
 
 
+def test_curves_recover_a_quadratic():
+    u = np.arange(50) / 25 - 1
+    c = straight.fit(25 + 25 * u, 3 + 2 * u - 0.5 * u * u, 2, 25.0, 1.0)
+    assert np.allclose(c.poly, [3, 2, -0.5], atol=1e-9)
+    assert straight.fit(np.arange(5.0), np.arange(5.0), 4, 2.0, 1.0) is None
+
+
+def test_bent_lines_become_straight():
+    flat = lines(paper(1000, 1400), 100, 900)
+    bend = lambda x, y: (x, y - 14 * np.clip(1 - x / 350, 0, 1) ** 2)
+    bent = rasters.warp(flat, 1000, 1400, bend, True)
+    out, applied, most = straight.straighten(bent)
+    assert applied and 5 < most < 40 and out.shape[0] == 1400 and out.shape[1] >= 1000
+
+    def spread(img):  # of the rows of ink near the left end against those further right
+        rows = lambda a, b: np.flatnonzero((img[140:185, a:b, 0] < 100).any(axis=1)).mean()
+        return abs(rows(105, 180) - rows(500, 800))
+
+    assert spread(bent) >= 5 and spread(out) <= 1.5
+    assert straight.straighten(paper(800, 1100))[1] is False and straight.straighten(flat)[1] is False
+
+
+def test_closing_and_bilinear_grid():
+    row = np.zeros((1, 10), dtype=bool)
+    row[0, [2, 5]] = True
+    closed = rasters.close_across(row, 4)[0]
+    assert closed[2:6].all() and not closed[0] and not closed[8]
+    grid = np.array([[0.0, 1.0], [2.0, 3.0]])
+    assert np.allclose(straight.bilinear(grid, np.array([0.5, -1.0, 9.0]), np.array([0.5, 0.0, 9.0])), [1.5, 0.0, 3.0])
+
+
 def test_crop_and_fill():
     img = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
     out = rasters.crop(img, -1, 2, 3, 4)
