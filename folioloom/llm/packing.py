@@ -32,7 +32,7 @@ from .common import lean, small, stage, text_groups
 
 CAPACITY, CLOSING = 4096, 1
 #: Words and pieces of words whose ids a worker keeps, bytes of text encoded together, and what stands between words that are.
-CACHE, GROUP, MARK = 150_000, 2 << 20, "\x01"
+CACHE, GROUP, MARK = 100_000, 1 << 20, "\x01"
 _piece = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 _END = CLOSING.to_bytes(4, "little")
 #: The printable characters that stand for bytes in byte-level vocabularies: those of Latin-1 for themselves, the rest in
