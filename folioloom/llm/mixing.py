@@ -5,7 +5,9 @@ the source's threshold. The threshold comes from histograms: words by source and
 the budget ends; only that boundary bucket is refined by the next bits, until it holds one hash value. No rows are sorted.
 
 Nulls: a null text has no words; a null source is a source of its own, the last; a null id hashes as the empty text.
-Repeated rows share a hash and are taken together. An empty table gives an empty result.
+Documents hash by id and text, so that texts which share an id, or lack one, are taken one by one; rows equal in both share
+a hash and are taken together. Very long texts count whole, and no document is cut, so a source meets its target to within
+its longest document. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ CAP = 3
 BITS, LEVELS = 12, 3
 
 
-def _hash(id_col: str):
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+def _hash(id_col: str, text_col: str):
+    own = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(own), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def _key(source_col: str):
@@ -32,7 +35,7 @@ def _key(source_col: str):
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, source, key, size and hash of each document, staged: all that mixing reads again."""
     return stage(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _key(source_col).alias("key"), n_words(F.col(text_col)).alias("size"), _hash(id_col).alias("h")),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _key(source_col).alias("key"), n_words(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("h")),
         "mix-sized",
     )
 
@@ -49,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     s = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1)).cast("double"))
     s = s.withColumn("most", (F.col("source_size") * cap).cast("double")).withColumn("ratio", F.col("most") / F.col("w"))
     s = s.withColumn("total", F.sum("source_size").over(Window.partitionBy()).cast("double"))
-    s = s.withColumn("before", F.sum("most").over(by_ratio) - F.col("most")).withColumn("rest", F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
+    s = s.withColumn("before", F.sum("most").over(by_ratio) - F.col("most")).withColumn("rest", F.sum("w").over(Window.partitionBy()) - F.sum("w").over(by_ratio) + F.col("w"))
     s = s.withColumn("level", (F.col("total") - F.col("before")) / F.col("rest"))
     s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "key", "level"))).over(Window.partitionBy())["level"])
     return s.select("key", "source_size", F.coalesce(F.least("most", F.col("w") * F.col("level")), "most").alias("target"))
@@ -96,6 +99,6 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, id_col: str
     """The mix itself: rows of docs, each as often as it is taken."""
     bounds = small(thresholds(sized(docs, id_col, text_col, source_col), weights, cap).select(F.struct("key", "full", "upto").alias("__mix")))
     out = docs.join(bounds, _key(source_col) == F.col("__mix.key"))
-    times = F.col("__mix.full") + F.when(_hash(id_col) <= F.col("__mix.upto"), 1).otherwise(0)
+    times = F.col("__mix.full") + F.when(_hash(id_col, text_col) <= F.col("__mix.upto"), 1).otherwise(0)
     # a document without words is never worth a copy, nor a reason to leave it out of a source that is taken whole
     return out.withColumn("__mix", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(docs.columns)

@@ -55,7 +55,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 9))::BIGINT AS h FROM documents),
 s AS (SELECT k, sum(size)::BIGINT AS source_size FROM d GROUP BY k),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY k = 'n', k) - 1) % 3 AS w FROM s),
 r AS (SELECT *, 3.0::DOUBLE * source_size AS most, 3.0::DOUBLE * source_size / w AS ratio FROM w),

@@ -409,3 +409,11 @@ def test_license_scan_finds_all_placements(spark):
 def test_licenses(spark):
     df = spark.createDataFrame([(1, "x y z\nReleased under the MIT License. more"), (2, "Licensed*** under the Apache License, Version 2.0"), (3, "no license here at all"), (4, None)], "doc_id long, text string")
     assert sorted((r.id, r.license) for r in licenses.scan(df).collect()) == [(1, "mit-statement"), (2, "apache-2.0-statement")]
+
+
+def test_mix_of_one_id(spark):
+    rows = [(None, f"{'word ' * 9}{i}", "a") for i in range(400)] + [(1, f"{'word ' * 9}{i}", "b") for i in range(400)] + [(i, "some few words", "c") for i in range(100)]
+    rows = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "abc":
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
