@@ -6,9 +6,10 @@ in one window. A window with CONTAINED of a template's t shingles has a Jaccard
 CONTAINED * t / (2 * m + (1 - CONTAINED) * t) to it, where t is over m / 2: 0.19 or more. With one hash a band, BANDS bands
 miss it with a probability of (1 - that) ** BANDS, by computation 0.03 % at most. A window can only share a band with a
 template if it holds the shingle that has the template's least hash there, so texts without any of those shingles are
-dropped before windows are made; this loses nothing.
+dropped before windows are made, and before that, texts without the longest word of any; this loses nothing.
 
-Nulls: a null text has no words. Rows with no match give no row; repeated rows give one each. Only DataFrame functions run.
+Nulls: a null text has no words. Rows with no match give no row; repeated rows give one each, ties of containment the first
+place. Very long texts are read whole, an empty table gives an empty result. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -81,10 +82,10 @@ def _windows(m: int):
 
 
 def templates(spark, texts: dict[str, str] = TEMPLATES) -> DataFrame:
-    """license, size class, shingles and band keys of each template of N words or more."""
+    """license, size class, words, shingles and band keys of each template of N words or more."""
     rows = [(name, _class(len(w) - N + 1), w) for name, t in texts.items() if len(w := words_of(t)) >= N]
     t = spark.createDataFrame(rows, "license string, class int, w array<string>").withColumn("shingles", F.array_distinct(_shingles(F.col("w"))))
-    return t.select("license", "class", "shingles", F.array(*[_least(F.col("shingles"), b) for b in range(BANDS)]).alias("keys"))
+    return t.select("license", "class", "w", "shingles", F.array(*[_least(F.col("shingles"), b) for b in range(BANDS)]).alias("keys"))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,7 +97,11 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, id_col: str = "doc_
     # of each template and band, the shingle with the least hash
     least = [F.min_by("h", F.xxhash64("h", F.lit(b))) for b in range(BANDS)]
     heads = sorted({h for r in known.select("license", F.explode("shingles").alias("h")).groupBy("license").agg(*least).drop("license").collect() for h in r})
+    grams = known.select("w", F.posexplode(_shingles(F.col("w"))).alias("i", "h")).filter(F.col("h").isin(heads)).select(F.slice("w", F.col("i") + 1, N).alias("words"))
+    longest = F.array_max(F.transform("words", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    marks = sorted(r[0] for r in grams.select(longest).distinct().collect())
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.array_remove(F.split(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z0-9]+"), "").alias("w"))
+    slim = slim.filter(F.arrays_overlap("w", F.array(*map(F.lit, marks)).cast("array<string>")))
     slim = slim.select("row", "id", _shingles(F.col("w")).alias("s")).filter(F.arrays_overlap("s", F.array(*map(F.lit, heads)).cast("array<long>")))
     windows = F.flatten(F.array(*map(_windows, classes)))
     win = slim.select("row", "id", F.explode(windows).alias("win")).select("row", "id", "win.*")
