@@ -6,7 +6,8 @@ in one window. A window with CONTAINED of a template's t shingles has a Jaccard
 CONTAINED * t / (2 * m + (1 - CONTAINED) * t) to it, where t is over m / 2: 0.19 or more. With one hash a band, BANDS bands
 miss it with a probability of (1 - that) ** BANDS, by computation 0.03 % at most. A window can only share a band with a
 template if it holds the shingle that has the template's least hash there, so texts without any of those shingles are
-dropped before windows are made, and before that, texts without the longest word of any; this loses nothing.
+dropped before windows are made (and before that, texts without the longest word of any), and so are windows without one
+of their class; this loses nothing.
 
 Nulls: a null text has no words. Rows with no match give no row; repeated rows give one each, ties of containment the first
 place. Very long texts are read whole, an empty table gives an empty result. Only DataFrame functions run.
@@ -15,6 +16,7 @@ place. Very long texts are read whole, an empty table gives an empty result. Onl
 from __future__ import annotations
 
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -96,15 +98,21 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, id_col: str = "doc_
     classes = sorted({r["class"] for r in rows})
     # of each template and band, the shingle with the least hash
     least = [F.min_by("h", F.xxhash64("h", F.lit(b))) for b in range(BANDS)]
-    heads = sorted({h for r in known.select("license", F.explode("shingles").alias("h")).groupBy("license").agg(*least).drop("license").collect() for h in r})
-    grams = known.select("w", F.posexplode(_shingles(F.col("w"))).alias("i", "h")).filter(F.col("h").isin(heads)).select(F.slice("w", F.col("i") + 1, N).alias("words"))
+    by_class: dict[int, set] = {c: set() for c in classes}
+    for r in known.select("license", "class", F.explode("shingles").alias("h")).groupBy("license", "class").agg(*least).drop("license").collect():
+        by_class[r[0]].update(r[1:])
+    holds = lambda heads: F.arrays_overlap("s", F.array(*map(F.lit, sorted(heads))).cast("array<long>"))
+    heads = set().union(*by_class.values())
+    grams = known.select("w", F.posexplode(_shingles(F.col("w"))).alias("i", "h")).filter(F.col("h").isin(sorted(heads))).select(F.slice("w", F.col("i") + 1, N).alias("words"))
     longest = F.array_max(F.transform("words", lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
     marks = sorted(r[0] for r in grams.select(longest).distinct().collect())
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.array_remove(F.split(F.lower(F.coalesce(text_col, F.lit(""))), "[^a-z0-9]+"), "").alias("w"))
     slim = slim.filter(F.arrays_overlap("w", F.array(*map(F.lit, marks)).cast("array<string>")))
-    slim = slim.select("row", "id", _shingles(F.col("w")).alias("s")).filter(F.arrays_overlap("s", F.array(*map(F.lit, heads)).cast("array<long>")))
+    slim = slim.select("row", "id", _shingles(F.col("w")).alias("s")).filter(holds(heads))
     windows = F.flatten(F.array(*map(_windows, classes)))
     win = slim.select("row", "id", F.explode(windows).alias("win")).select("row", "id", "win.*")
+    # only windows with a least shingle of a template of their class go on
+    win = win.filter(reduce(lambda other, c: F.when(F.col("class") == c, holds(by_class[c])).otherwise(other), classes, F.lit(False)))
     band = win.withColumn("keys", F.array(*[_least(F.col("s"), b) for b in range(BANDS)]))
     sides = known.select("license", "class", F.col("shingles").alias("t"), F.col("keys").alias("t_keys"))
     same = F.exists(F.zip_with("keys", "t_keys", lambda a, b: a == b), lambda x: x)
