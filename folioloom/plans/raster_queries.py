@@ -97,7 +97,7 @@ def raster_even_light(spark, sf_dir):
     return each_page(spark, sf_dir, lambda g: pixels(R.even_light(colour(g), text=0.3, smooth=0.2)[..., 0]), "x int, y int, g int")
 
 
-@query("""SELECT quality::VARCHAR AS book, doc_id::VARCHAR || '.jpg' AS file, (toxic = 1) AS skip, CASE WHEN doc_id % 2 = 0 THEN 90 END::INT AS rotate, CASE WHEN doc_id % 5 = 0 THEN false END AS unwarp,
+@query("""SELECT quality::VARCHAR AS book, doc_id::VARCHAR || '.jpg' AS file, (toxic = 1) AS skip, CASE WHEN doc_id % 2 = 0 THEN 90 END::INT AS rotate, CASE WHEN doc_id % 5 = 0 THEN 0 END::INT AS unwarp,
 CASE WHEN doc_id % 3 = 0 THEN 'none' WHEN doc_id % 3 = 1 THEN 'at' END AS split_mode, CASE WHEN doc_id % 3 = 1 THEN round(doc_id % 10 / 10.0::DOUBLE, 6) END AS split_at,
 CASE WHEN doc_id % 4 = 0 THEN 0.25::DOUBLE END AS x1 FROM labels
 WHERE toxic = 1 OR doc_id % 2 = 0 OR doc_id % 5 = 0 OR doc_id % 3 <> 2 OR doc_id % 4 = 0""")
@@ -111,7 +111,7 @@ def override_json(spark, sf_dir):
         F.when(d % 4 == 0, F.create_map(F.lit(1).cast("tinyint"), F.struct(F.lit(0.25).alias("x"), F.lit(0.1).alias("y"), F.lit(0.5).alias("w"), F.lit(0.5).alias("h")))).alias("content"),
     )
     back = overrides.parsed(overrides.written(rows))
-    return back.select("book", "file", "skip", "rotate", "unwarp", "split_mode", "split_at", F.try_element_at("content", F.lit(1).cast("tinyint"))["x"].alias("x1"))
+    return back.select("book", "file", "skip", "rotate", F.col("unwarp").cast("int").alias("unwarp"), "split_mode", "split_at", F.try_element_at("content", F.lit(1).cast("tinyint"))["x"].alias("x1"))
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_discount * 8 AS x, l_tax * 10 AS y, l_quantity / 60 AS w, l_discount * 4 AS h FROM lineitem),
