@@ -3,8 +3,8 @@
 1. Each task lists the anchors of its texts (see repeats.py) and settles those whose gram and context it has seen itself.
 2. The others meet by gram. An index of the shard tells which had the same context before (all their windows repeat), and
    which share their gram with other contexts only (contested: some of their windows may repeat).
-3. Contested anchors fetch their contexts from the texts and meet by gram again, where windows are compared one by one.
-   Grams with over HOT contexts would gather too many rows in a task: their windows meet one by one, by window, after each
+3. Contested anchors fetch their contexts from the texts and meet by gram again, where the operator's matcher (suffix
+   arrays, FM-indexes) finds the windows that repeat. Grams with over HOT contexts would gather too many rows in a task: their windows meet one by one, by window, after each
    task has settled those that it has seen itself. Grams that are common in a sample of SAMPLE documents are dealt by gram
    and context from the start, so that no task gathers one; the sample decides where rows meet, never what is found.
 4. The ranges found go back to the texts.
@@ -259,48 +259,25 @@ def _before(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, other: bool) -> np.
     return doc[first] < doc if other else (doc[first] != doc) | (pos[first] != pos)
 
 
-def compare(tokens: Tokens, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, data: list[bytes], other: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors in document order with their contexts: places of those with a window that was there before, and the first
-    and last such window's start, relative to the anchor. All windows of an anchor hold its gram, so what they cover
-    together is one range."""
-    reach = tokens.w - tokens.k
-    size = np.array([len(x) for x in data], dtype=np.int64) // tokens.width
-    total = reach + tokens.w
-    # contexts in rows, their grams in the same columns
-    row, col = np.repeat(np.arange(len(data)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - (reach - left), size)
-    grid = np.zeros((len(data), total), dtype=np.uint64)
-    grid[row, col] = tokens.values(np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, tokens.width))
-    h = Hashes(grid.ravel())
-    at = np.arange(len(data))[:, None] * total + np.arange(reach + 1)
-    begin = np.arange(reach + 1)[None, :]
-    whole = (begin >= (reach - left)[:, None]) & (begin + tokens.w <= (reach - left + size)[:, None])
-    who, step = np.nonzero(whole)
-    hashes = mix(h(at, at + tokens.w)[who, step] + g[who].view(np.uint64) * np.uint64(31) + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    hit = _before(hashes, doc[who], pos[who], other)
-    who, step = who[hit], step[hit]
-    found, first = np.unique(who, return_index=True)
-    last = np.append(first[1:], len(who)) - 1
-    return found, step[first] - reach, step[last] - reach if len(found) else step[:0]
-
-
-def _resolve(tokens: Tokens, other: bool, compare=compare):
+def _resolve(tokens: Tokens, other: bool, matcher: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = matcher(tokens)
         held: list = []
         size = 0
         window = (None, 0, 0)  # the last window, and the first place that has it
 
         def settle(upto: int | None):
-            """Compare the contexts held, all but those of the last gram unless upto is None."""
+            """Match the contexts held; if they come by gram, all but those of the last gram unless upto is None."""
             nonlocal held, size
             g, doc, pos, left = (np.concatenate([x[i] for x in held]) for i in range(4))
             data = [y for x in held for y in x[4]]
-            n = len(g) if upto is None else int(np.searchsorted(g != g[-1], False)) if g[0] != g[-1] else 0
+            n = len(g) if upto is None or not match.by_gram else int(np.searchsorted(g != g[-1], False)) if g[0] != g[-1] else 0
             held, size = ([(g[n:], doc[n:], pos[n:], left[n:], data[n:])] if n < len(g) else []), len(g) - n
-            cuts = np.append(np.flatnonzero(np.diff(g[:n], prepend=g[0] - 1 if n else 0)), n)  # grams stay together
+            cuts = np.append(np.flatnonzero(np.diff(g[:n], prepend=g[0] - 1 if n else 0)) if match.by_gram else np.arange(n), n)  # grams stay together
             a = 0
             while a < n:
                 z = int(cuts[min(np.searchsorted(cuts, a + CHUNK), len(cuts) - 1)])
-                at, lo, hi = compare(tokens, g[a:z], doc[a:z], pos[a:z], left[a:z], data[a:z], other)
+                at, lo, hi = match.add(g[a:z], doc[a:z], pos[a:z], left[a:z], data[a:z])
                 p = pos[a:z][at]
                 r, p = p >> SHIFT, p & _PLACE
                 yield _rows(id=doc[a:z][at], r=r, data=pa.array([x.tobytes() for x in np.stack((p + lo, p + hi + tokens.w), axis=1)], pa.binary()))
@@ -335,10 +312,14 @@ def _resolve(tokens: Tokens, other: bool, compare=compare):
     return run
 
 
-def remove(docs: DataFrame, tokens: Tokens, other: bool, finish: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text", compare: Callable = compare) -> DataFrame:
+def remove(docs: DataFrame, tokens: Tokens, other: bool, matcher: type, finish: Callable, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id and the columns that finish(text, ranges) gives, ranges being disjoint pairs of tokens.
 
-    other: a window repeats only what a document with a smaller id has.
+    other: a window repeats only what a document with a smaller id has. matcher: what compares contested contexts. Each
+    task makes one from tokens and adds contexts to it (gram, document, place, tokens before the gram, stored tokens), in
+    document order or, if it is by_gram, gram by gram. It answers which of them have a window that was there before, and
+    the first and last such window's start relative to the anchor: all windows of a context hold its gram, so what they
+    cover together is one range.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -349,7 +330,8 @@ def remove(docs: DataFrame, tokens: Tokens, other: bool, finish: Callable, schem
     found = found.repartition(parts, "g").sortWithinPartitions("id", "pos").mapInArrow(lean(_index(other)), "id long, pos long, g long, what int, data binary")
     marks = found.withColumn("r", F.shiftright("pos", SHIFT)).groupBy(*key).agg(F.collect_list(F.struct("pos", "g", "what", "data")).alias("marks"))
     open_ = dealt.join(marks, key, "left").select("id", "r", "text", "marks").mapInArrow(lean(_contexts(tokens, other)), "g long, kind int, id long, pos long, left int, data binary")
-    ranges = open_.repartition(parts, "g").sortWithinPartitions("kind", "g", "id", "pos").mapInArrow(lean(_resolve(tokens, other, compare)), "id long, r long, data binary")
+    by = F.col("g") if matcher.by_gram else F.when(F.col("kind") == 2, F.col("g"))
+    ranges = open_.repartition(parts, "g").sortWithinPartitions("kind", by, "id", "pos").mapInArrow(lean(_resolve(tokens, other, matcher)), "id long, r long, data binary")
     ranges = ranges.groupBy(*key).agg(F.collect_list("data").alias("ranges"))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,42 +113,49 @@ class FMIndex:
         return out
 
 
-def compare(tokens: Tokens, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, data: list[bytes], other: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As passages.compare, by an FM-index over the contexts. All windows of a context hold its gram, so the first window
-    that repeats and the last bound one removed range."""
-    size = np.array([len(x) for x in data], dtype=np.int64) // tokens.width
-    values = tokens.values(np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, tokens.width))
-    # contexts stand in one sequence, each behind a separator that no search crosses
-    _, symbol = np.unique(values, return_inverse=True)
-    n_symbols = int(symbol.max()) + 2
-    starts = np.cumsum(size + 1) - size
-    x = np.zeros(int(size.sum()) + len(data) + 1, dtype=np.int64)
-    own = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
-    x[own] = symbol + 1
-    _, rank = np.unique(doc, return_inverse=True)
-    docs = np.full(len(x), np.iinfo(np.int32).max, dtype=np.int32)
-    docs[own] = np.repeat(rank, size)
-    index = FMIndex(x, n_symbols, docs)
-    reach = tokens.w - tokens.k
-    # nothing repeats in the first document of a gram: what holds the same window holds the same gram
-    _, gram = np.unique(g, return_inverse=True)
-    first = np.full(gram.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, gram, rank)
-    later = np.flatnonzero(rank > first[gram])
-    # one search for each place where a window may end, all at once
-    who, end = np.repeat(later, reach + 1), np.tile(np.arange(tokens.w, tokens.w + reach + 1), len(later))
-    keep = end <= size[who]
-    who, end = who[keep], end[keep]
-    a, z = np.zeros(len(who), dtype=np.int64), np.full(len(who), len(x))
-    for back in range(1, tokens.w + 1):
-        a, z = index.extend(x[starts[who] + end - back], a, z)
-        ok = index.earliest(a, z) < rank[who]  # the context's own row is there: never empty
-        who, end, a, z = who[ok], end[ok], a[ok], z[ok]
-    lo_at, hi_at = np.full(len(data), np.iinfo(np.int64).max), np.full(len(data), -1)
-    np.minimum.at(lo_at, who, end - tokens.w)
-    np.maximum.at(hi_at, who, end - tokens.w)
-    found = np.flatnonzero(hi_at >= 0)
-    return found, lo_at[found] - left[found], hi_at[found] - left[found]
+class Shard:
+    """Matches contexts, those of a gram together, by an FM-index over them (a matcher, see passages.remove)."""
+
+    by_gram = True
+
+    def __init__(self, tokens: Tokens):
+        self.tokens = tokens
+
+    def add(self, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        tokens = self.tokens
+        size = np.array([len(x) for x in data], dtype=np.int64) // tokens.width
+        values = tokens.values(np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, tokens.width))
+        # contexts stand in one sequence, each behind a separator that no search crosses
+        _, symbol = np.unique(values, return_inverse=True)
+        n_symbols = int(symbol.max()) + 2
+        starts = np.cumsum(size + 1) - size
+        x = np.zeros(int(size.sum()) + len(data) + 1, dtype=np.int64)
+        own = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+        x[own] = symbol + 1
+        _, rank = np.unique(doc, return_inverse=True)
+        docs = np.full(len(x), np.iinfo(np.int32).max, dtype=np.int32)
+        docs[own] = np.repeat(rank, size)
+        index = FMIndex(x, n_symbols, docs)
+        reach = tokens.w - tokens.k
+        # nothing repeats in the first document of a gram: what holds the same window holds the same gram
+        _, gram = np.unique(g, return_inverse=True)
+        first = np.full(gram.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, gram, rank)
+        later = np.flatnonzero(rank > first[gram])
+        # one search for each place where a window may end, all at once
+        who, end = np.repeat(later, reach + 1), np.tile(np.arange(tokens.w, tokens.w + reach + 1), len(later))
+        keep = end <= size[who]
+        who, end = who[keep], end[keep]
+        a, z = np.zeros(len(who), dtype=np.int64), np.full(len(who), len(x))
+        for back in range(1, tokens.w + 1):
+            a, z = index.extend(x[starts[who] + end - back], a, z)
+            ok = index.earliest(a, z) < rank[who]  # the context's own row is there: never empty
+            who, end, a, z = who[ok], end[ok], a[ok], z[ok]
+        lo_at, hi_at = np.full(len(data), np.iinfo(np.int64).max), np.full(len(data), -1)
+        np.minimum.at(lo_at, who, end - tokens.w)
+        np.maximum.at(hi_at, who, end - tokens.w)
+        found = np.flatnonzero(hi_at >= 0)
+        return found, lo_at[found] - left[found], hi_at[found] - left[found]
 
 
 def kept(text: str, ranges: np.ndarray) -> list[str]:
@@ -170,4 +177,4 @@ def spans(text: str, ranges: np.ndarray) -> dict:
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, finish=spans, schema: str = "kept string, spans array<long>", **columns) -> DataFrame:
     """id, the remaining words and the removed runs (first and last word's end in turn) of each document."""
-    return remove(docs, Tokens(window, gram, WIDTH, encode, hash_values), True, finish, schema, compare=compare, **columns)
+    return remove(docs, Tokens(window, gram, WIDTH, encode, hash_values), True, Shard, finish, schema, **columns)

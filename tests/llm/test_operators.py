@@ -113,6 +113,35 @@ def test_passages_without_repeats_stay(spark):
     assert out.agg(F.sum("n_removed")).first()[0] == 0
 
 
+@pytest.mark.parametrize("letters", [1, 2, 40])
+def test_suffix_family_finds_every_earlier_window(letters):
+    """Overlapping contexts of random documents in batches of several sizes, against all windows in their places."""
+    r, w, k = np.random.default_rng(letters), 12, 4
+    parts = [bytes(r.integers(0, letters, int(r.integers(1, 30)), dtype=np.uint8)) for _ in range(12)]
+    contexts, first = [], {}
+    for doc in range(60):
+        text = b"".join(parts[i] for i in r.integers(0, len(parts), 4))
+        for s in range(len(text) - w + 1):
+            first.setdefault(text[s : s + w], (doc, s))
+        for p in range(0, len(text) - k + 1, 3):
+            left = min(w - k, p)
+            contexts.append((doc, p, left, text[p - left : p + w]))
+    family, a = suffix_dedup.SuffixFamily(passages.Tokens(w, k, 1, None, None)), 0
+    while a < len(contexts):
+        some = contexts[a : a + int(r.integers(1, 90))]
+        doc, pos, left = (np.array([c[i] for c in some]) for i in range(3))
+        found, lo, hi = family.add(doc, doc, pos, left, [c[3] for c in some])
+        got = {int(i): (int(x), int(y)) for i, x, y in zip(found, lo, hi)}
+        for i, (d, p, n, data) in enumerate(some):
+            again = [s - n for s in range(len(data) - w + 1) if first[data[s : s + w]] < (d, p - n + s)]
+            assert got.get(i) == ((again[0], again[-1]) if again else None)
+        a += len(some)
+    held = [key for level in family.levels for key in level.keys().tolist()]
+    sizes = [len(level.at) for level in family.levels]
+    assert len(held) == len(set(held)) == len({key.rstrip(b"\0") for key in first}) and all(x > y for x, y in zip(sizes, sizes[1:]))
+    assert all((level.keys()[1:] > level.keys()[:-1]).all() for level in family.levels)
+
+
 def test_passages_of_empty_tables(empty):
     assert suffix_dedup.dedup(empty).count() == 0 and substring_dedup.dedup(empty).count() == 0
 
