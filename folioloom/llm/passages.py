@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean
-from .repeats import Hashes, LevelFamily, anchors, mix
+from .repeats import Hashes, LevelFamily, anchors, gram_minima, mix
 
 #: Contexts of one gram that are compared in one task; contexts and anchors that are handled at once.
 HOT, CHUNK, FLUSH = 1000, 4_000, 1_000_000
@@ -238,9 +238,18 @@ def _contexts(tokens: Tokens, other: bool):
                 wd, start, hashes = wd[~before], start[~before], hashes[~before]
                 rows.append((hashes.view(np.int64), np.full(len(wd), 2, dtype=np.int32), ids[wd], start + (r[wd] << SHIFT), np.zeros(len(wd), dtype=np.int32), pa.nulls(len(wd), pa.binary())))
             some = np.flatnonzero(what == 1)
-            raw = stored.tobytes()
-            a, z = (starts[d] + pos - left)[some] * width, (starts[d] + pos + right)[some] * width
-            rows.append((g[some], np.full(len(some), 1, dtype=np.int32), ids[d[some]], pos[some] + (r[d[some]] << SHIFT), left[some].astype(np.int32), pa.array([raw[i:j] for i, j in zip(a.tolist(), z.tolist())], pa.binary())))
+            if len(some):
+                # of the windows around an anchor, those in which no gram is less: equal windows agree in that
+                grams, least = gram_minima(Hashes(tokens.values(stored)), tokens.w, tokens.k)
+                p, n = starts[d[some]] + pos[some], (left + right - tokens.w + 1)[some]
+                first = np.cumsum(n) - n
+                at = np.arange(n.sum()) + np.repeat(p - left[some] - first, n)
+                own = least[at] == np.repeat(grams[p], n)
+                a = np.minimum.reduceat(np.where(own, at, len(stored)), first)
+                z = np.maximum.reduceat(np.where(own, at, -1), first) + tokens.w
+                raw = stored.tobytes()
+                data = pa.array([raw[i:j] for i, j in zip((a * width).tolist(), (z * width).tolist())], pa.binary())
+                rows.append((g[some], np.full(len(some), 1, dtype=np.int32), ids[d[some]], pos[some] + (r[d[some]] << SHIFT), (p - a).astype(np.int32), data))
             lo_d, lo, hi = np.concatenate(lo_d), np.concatenate(lo), np.concatenate(hi)
             have, packed = _packed(lo_d, lo, hi)
             rows.append((mix(ids[have].view(np.uint64)).view(np.int64), np.zeros(len(have), dtype=np.int32), ids[have], r[have] << SHIFT, np.zeros(len(have), dtype=np.int32), packed))

@@ -54,14 +54,20 @@ def _sliding(a: np.ndarray, w: int, f) -> np.ndarray:
     return f(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+def gram_minima(h: Hashes, w: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every gram, and the least in every window of w tokens, of which there is one at least."""
+    n = len(h.sums) - 1
+    grams = h(np.arange(n - k + 1), np.arange(k, n + 1)) | np.uint64(1)
+    return grams, _sliding(grams, w - k + 1, np.minimum)
+
+
 def anchors(h: Hashes, starts: np.ndarray, lens: np.ndarray, w: int, k: int) -> np.ndarray:
     """Places of the anchors, for texts of lens tokens that begin at starts, one behind the other."""
     n = len(h.sums) - 1
     span = w - k + 1
     if n < w:
         return np.empty(0, dtype=np.int64)
-    grams = h(np.arange(n - k + 1), np.arange(k, n + 1)) | np.uint64(1)
-    least = _sliding(grams, span, np.minimum)
+    grams, least = gram_minima(h, w, k)
     # windows that would cross the end of a text do not count
     whole = np.zeros(n + 1, dtype=np.int32)
     long = lens >= w

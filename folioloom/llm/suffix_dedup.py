@@ -13,6 +13,7 @@ than LENGTH bytes stay whole.
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from .passages import Tokens, byte_values, remove
 
 LENGTH, GRAM = 100, 32
+#: A level holds the bytes of every STEP-th suffix.
+STEP = 16
 
 
 def encode(text: str) -> bytes:
@@ -62,14 +65,19 @@ class SuffixArray:
         return np.lib.stride_tricks.sliding_window_view(self.text, self.w)[at].view(f"S{self.w}").ravel()
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """How many suffixes come before each key."""
-        lo, hi = np.zeros(len(keys), dtype=np.int64), np.full(len(keys), len(self.at))
-        for _ in range(len(self.at).bit_length()):
+        """How many suffixes come before each key: among every STEP-th suffix first, then between two of these."""
+        block = np.searchsorted(self.fence, keys)
+        lo, hi = np.where(block > 0, (block - 1) * STEP + 1, 0), np.minimum(block * STEP, len(self.at))
+        for _ in range(STEP.bit_length()):
             mid = np.minimum((lo + hi) >> 1, len(self.at) - 1)
             less = (self.keys(mid) < keys) & (lo < hi)
             lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(mid, hi))
         return lo
 
+    @cached_property
+    def fence(self) -> np.ndarray:
+        return self.keys(np.arange(0, len(self.at), STEP))
+
     def only(self, keep: np.ndarray) -> SuffixArray:
         """Without the other suffixes, nor the contexts that have none left."""
         own = self.owners(keep)
