@@ -14,11 +14,11 @@ def resolve(images: DataFrame, overrides: DataFrame, keys: list[str], options: d
 
     A forced flattening switches it on against the options. Line dewarping without an override follows the option only where
     the page was not flattened: what the column flattened of images says, else what is asked for. unwarp_curl and content
-    pass on where overrides have them.
+    pass on where overrides have them. The option split is "auto" (or True), "always" or "none" (or False).
     """
     o = images.join(overrides, keys, "left").filter(~F.coalesce("skip", F.lit(False)))
     flat = F.coalesce("unwarp", F.lit(options["unwarp"]))
-    split = F.when(F.col("split_mode") == "none", "none").when(F.col("split_mode") == "at", "at").when(F.lit(options["split"]), "auto").otherwise("none")
+    split = F.when(F.col("split_mode") == "none", "none").when(F.col("split_mode") == "at", "at").otherwise({True: "auto", False: "none"}.get(options["split"], options["split"]))
     done = F.coalesce(F.col(flattened), F.lit(False)) if flattened else flat
     return o.select(
         *images.columns, F.coalesce("rotate", F.lit(options["rotate"])).alias("rotate"), flat.alias("unwarp"), split.alias("split"),

@@ -1,8 +1,8 @@
 """From page images to clean books: each image becomes upright, evenly lit pages (one stage, image by image), the book's
 layout is an aggregate over the boxes of its pages, and the finished pages are cut to one size and encoded.
 
-Rasters are shuffled once, by book, on their way into the PDF sink; layouts join by their few small columns. An image that
-can't be processed gives a row with its error and no page, and the others of its book go on.
+Rasters are shuffled once, encoded, by book, on their way into the PDF sink; layouts join by their few small columns. An image
+that can't be read, decoded or processed gives a row with its error and no page, and the others of its book go on.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import jpeg, lines, rasters
 from folioloom.functions.scalars import natural_key
-from folioloom.sources import folders, overrides, pdf
+from folioloom.sources import folders, folio, overrides, pdf
 from folioloom.sources.work import kept
 
 from . import books
@@ -36,7 +36,7 @@ def halves(img: np.ndarray, split: str, at: float | None, options: dict) -> tupl
     x = None
     if split == "at":
         x = int(at * w + 0.5)
-    elif split == "auto" and w >= h * options["min_aspect"]:
+    elif split == "always" or split == "auto" and w >= h * options["min_aspect"]:
         x = rasters.gutter(img)
     return ([img[:, :x], img[:, x:]], x) if x is not None and 0 < x < w else ([img], None)
 
@@ -57,33 +57,33 @@ def one_page(img: np.ndarray, box: dict | None, dewarp: bool, options: dict) ->
 
 
 def process(images: DataFrame, options: dict | None = None) -> DataFrame:
-    """PAGE rows of images (book, file, width, height, data, and rotate, split, split_at, dewarp, content as resolve gives them)."""
+    """PAGE rows of images (book, file, width, height, data, error, and rotate, split, split_at, dewarp, content as resolve
+    gives them). An image with an error passes with it, and one that a kernel fails on gets one. Manual boxes, which are in
+    shares of the finished page, travel with their page."""
     options = OPTIONS | (options or {})
+    schema = pa.schema([("book", pa.string()), ("file", pa.string()), ("half", pa.int8()), ("width", pa.int32()), ("height", pa.int32()), ("gutter_x", pa.int32()), ("angle", pa.float64()), ("deskewed", pa.bool_()), ("straightened", pa.bool_()), ("bend", pa.float64()), ("box", pa.struct([(c, pa.int64()) for c in "xywh"])), ("error", pa.string()), ("data", pa.binary()), ("manual", pa.struct([(c, pa.float64()) for c in "xywh"]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("book", pa.string()), ("file", pa.string()), ("half", pa.int8()), ("width", pa.int32()), ("height", pa.int32()), ("gutter_x", pa.int32()), ("angle", pa.float64()), ("deskewed", pa.bool_()), ("straightened", pa.bool_()), ("bend", pa.float64()), ("box", pa.struct([(c, pa.int64()) for c in "xywh"])), ("error", pa.string()), ("data", pa.binary())])
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):  # one image at a time: rasters are large
+                pages, error = [], row["error"]
                 try:
-                    img = np.frombuffer(row["data"], dtype=np.uint8).reshape(row["height"], row["width"], 3)
-                    parts, x = halves(np.rot90(img, -(row["rotate"] // 90 % 4)), row["split"], row["split_at"], options)
-                    for half, part in enumerate(parts):
-                        manual = dict(row["content"] or {}).get(half)
-                        out, found = one_page(part, manual, row["dewarp"], options)
-                        page = {"book": row["book"], "file": row["file"], "half": half if len(parts) > 1 else None, "width": out.shape[1], "height": out.shape[0], "gutter_x": x, "error": None, "data": out.tobytes()}
-                        yield pa.RecordBatch.from_pylist([page | found], schema)
-                except (ValueError, TypeError, MemoryError) as e:
-                    yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | {"book": row["book"], "file": row["file"], "error": str(e)}], schema)
-
-    cols = images.select("book", "file", "width", "height", "data", "rotate", "split", "split_at", "dewarp", "content")
-    pages = cols.mapInArrow(run, PAGE)
-    if not options["layout"]:
-        return pages
-    # manual boxes are in shares of the finished page
-    manual = images.select("book", "file", "content").filter(F.size("content") > 0)
-    box = overrides.to_px(F.try_element_at("content", F.coalesce("half", F.lit(0).cast("tinyint"))), F.col("width"), F.col("height"))
-    names = [c.split()[0] for c in PAGE.split(", ")]
-    return pages.join(manual, ["book", "file"], "left").withColumn("box", F.coalesce(box, "box")).select(*names)
+                    if error is None:
+                        img = np.frombuffer(row["data"], dtype=np.uint8).reshape(row["height"], row["width"], 3)
+                        parts, x = halves(np.rot90(img, -(row["rotate"] // 90 % 4)), row["split"], row["split_at"], options)
+                        for half, part in enumerate(parts):
+                            manual = dict(row["content"] or {}).get(half)
+                            out, found = one_page(part, manual, row["dewarp"], options)
+                            pages.append({"half": half if len(parts) > 1 else None, "width": out.shape[1], "height": out.shape[0], "gutter_x": x, "data": out.tobytes(), "manual": manual} | found)
+                except Exception as e:  # whatever a kernel meets in one image, the others go on
+                    pages, error = [], f"{type(e).__name__}: {e}"
+                for page in pages or [{"error": error}]:
+                    yield pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | {"book": row["book"], "file": row["file"]} | page], schema)
+
+    cols = images.select("book", "file", "width", "height", "data", "error", "rotate", "split", "split_at", "dewarp", "content")
+    pages = cols.mapInArrow(run, f"{PAGE}, manual struct<x:double,y:double,w:double,h:double>")
+    box = overrides.to_px(F.col("manual"), F.col("width"), F.col("height"))
+    return pages.withColumn("box", F.coalesce(box, "box")).drop("manual") if options["layout"] else pages.drop("manual")
 
 
 def numbered(pages: DataFrame) -> DataFrame:
@@ -101,7 +101,9 @@ def finished(pages: DataFrame, options: dict | None = None) -> DataFrame:
         place = place.join(books.plan_crops(flat, "book", options["margin"]), ["book", "page_idx"])
     else:
         place = place.select("*", F.col("width").alias("out_w"), F.col("height").alias("out_h"), F.lit(0).alias("ox"), F.lit(0).alias("oy"))
-    place = place.select("book", "file", F.coalesce("half", F.lit(0)).alias("part"), "page_idx", "out_w", "out_h", "ox", "oy")
+    place = kept(place.select("book", "file", F.coalesce("half", F.lit(0)).alias("part"), "page_idx", "out_w", "out_h", "ox", "oy"), "places")
+    if place.count() <= folders.BROADCAST_ROWS:  # rasters stay where they are; else they are dealt by page
+        place = F.broadcast(place)
     rows = pages.filter("error is null").withColumn("part", F.coalesce("half", F.lit(0))).join(place, ["book", "file", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,20 +122,23 @@ def finished(pages: DataFrame, options: dict | None = None) -> DataFrame:
     return rows.mapInArrow(run, "book string, page_idx int, width int, height int, channels int, data binary")
 
 
-def convert(spark: SparkSession, root: str, target: str, options: dict | None = None, rtl: bool = False, work: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Every book below root becomes target/<name>.pdf. Gives the books written (name, n_pages, n_bytes) and the report:
+def convert(spark: SparkSession, root: str, target: str, options: dict | None = None, rtl: bool = False, work: str | None = None, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every book below root (or those named in only) becomes target/<name>.pdf. Gives the books written (name, n_pages, n_bytes) and the report:
     what process() found on each page, without the rasters."""
     options = OPTIONS | (options or {})
-    images = folders.pages(spark, root).withColumn("flattened", F.lit(False))  # there is no learned flattening here
-    chosen = books.resolve(images, overrides.load(spark, root), ["book", "file"], options, flattened="flattened").drop("flattened")
+    manual = overrides.load(spark, root)
+    listed = folio.listing(spark, root, heads=False)
+    listed = kept((listed if only is None else listed.filter(F.col("book").isin(only))).select("book", "file", "modified"), "images", work)
+    # what is skipped, or beyond the first pages, is settled on names alone
+    wanted = books.resolve(listed.select("book", "file"), manual.drop("content"), ["book", "file"], options).select("book", "file")
     if options["max_pages"] is not None:
-        first = books.page_order(chosen.select("book", "file"), "book", "file", limit=options["max_pages"]).drop("page_idx")
-        chosen = chosen.join(first, ["book", "file"], "left_semi")
+        wanted = books.page_order(wanted, "book", "file", limit=options["max_pages"]).drop("page_idx")
+    images = folio.pages(spark, root, only=wanted, books=only).withColumn("flattened", F.lit(False))  # there is no learned flattening here
+    chosen = books.resolve(images, manual, ["book", "file"], options, flattened="flattened").drop("flattened")
     pages = kept(process(chosen, options), "pages", work)
-    names = books.output_names(folders.books(folders.images(spark, root)).withColumn("name", F.when(F.col("book") == "", "book").otherwise(F.substring_index("book", "/", -1))), "name", [natural_key(F.col("book")), "book"])
+    names = books.output_names(folders.books(listed).withColumn("name", F.when(F.col("book") == "", "book").otherwise(F.substring_index("book", "/", -1))), "name", [natural_key(F.col("book")), "book"])
     out = finished(pages, options).join(names.select("book", F.regexp_replace("output", r"\.pdf$", "").alias("name")), "book").withColumn("dpi", F.lit(options["dpi"]))
-    done = kept(pdf.write(out, target, rtl), "books", work)
-    return done, pages.drop("data")
+    return pdf.write(out, target, rtl), pages.drop("data")
 
 
 def status(report: DataFrame) -> DataFrame:

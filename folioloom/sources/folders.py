@@ -1,7 +1,7 @@
 """Folders of page images as relations: listing, books, and decoded pages.
 
 Listings never read the files' contents (Spark prunes the column). Pages are decoded by Spark's image source in the JVM, from
-the content of each file (JPEG, PNG, BMP, GIF); TIFF, WebP and HEIC are listed, and give no decoded page, as do broken files.
+the content of each file (JPEG, PNG, BMP, GIF, TIFF). What the files' heads say comes from the source in folio.py.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from folioloom.functions.scalars import is_image, natural_key, parent, tree_key
 
-#: Turned images up to which their list is broadcast; the most bytes of a file in which its orientation is looked for.
-BROADCAST_ROWS, HEAD = 100_000, 1 << 16
+from .work import kept
+
+#: Images up to which their list is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def below(path: Column, root: str) -> Column:
@@ -51,24 +53,6 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(tree_key(F.col("book")), natural_key(F.col("file")), "file")
 
 
-def orientation(head: bytes) -> int:
-    """The orientation (1 to 8) that the head of a JPEG names; 1 for none."""
-    at = 2
-    while head[:2] == b"\xff\xd8" and at + 4 <= len(head) and head[at] == 0xFF and head[at + 1] != 0xDA:
-        size = int.from_bytes(head[at + 2 : at + 4], "big")
-        if head[at + 1] == 0xE1 and head[at + 4 : at + 10] == b"Exif\0\0":
-            tiff = head[at + 10 : at + 2 + size]
-            order = "little" if tiff[:2] == b"II" else "big"
-            first = int.from_bytes(tiff[4:8], order)
-            for k in range(int.from_bytes(tiff[first : first + 2], order)):
-                entry = tiff[first + 2 + 12 * k : first + 14 + 12 * k]
-                if int.from_bytes(entry[:2], order) == 0x0112:
-                    value = int.from_bytes(entry[8:10], order)
-                    return value if 1 <= value <= 8 else 1
-        at += 2 + size
-    return 1
-
-
 def turned(x: np.ndarray, how: int) -> np.ndarray:
     """A raster (rows, columns, channels) put upright."""
     if how in (5, 6, 7, 8):
@@ -91,29 +75,42 @@ def rgb(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     return x[..., ::-1]
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([orientation(h) for h in b.column(1).to_pylist()], pa.int32())], names=["path", "orientation"])
-
-
 def _upright(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["path", "book", "file", "width", "height", "channels", "data", "error"]
     for b in batches:
         for row in (b.slice(i, 1) for i in range(b.num_rows)):  # one page at a time: rasters are large
-            path, width, height, channels, data, how = (c[0].as_py() for c in row.columns)
-            x = turned(rgb(data, width, height, channels), how)
-            names = ["path", "width", "height", "channels", "data"]
-            yield pa.record_batch([pa.array([path]), *(pa.array([n], pa.int32()) for n in (x.shape[1], x.shape[0], 3)), pa.array([x.tobytes()], pa.binary())], names=names)
-
-
-def pages(spark: SparkSession, root: str) -> DataFrame:
-    """path, book, file, width, height, channels (3) and data (RGB rows) of each image that can be decoded, put upright."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][pP]*").load(root)
-    heads = files.select("path", F.substr("content", F.lit(1), F.lit(HEAD)).alias("head")).mapInArrow(_heads, "path string, orientation int").filter("orientation <> 1")
-    if heads.count() <= BROADCAST_ROWS:  # few photos are turned; else both sides are shuffled by path
-        heads = F.broadcast(heads)
-    raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
-    raw = raw.select(F.col("origin").alias("path"), "width", "height", "nChannels", "data").join(heads, "path", "left")
-    out = raw.withColumn("orientation", F.coalesce("orientation", F.lit(1))).mapInArrow(_upright, "path string, width int, height int, channels int, data binary")
-    rel = below(F.col("path"), root)
-    out = out.withColumn("book", F.when(F.contains(rel, F.lit("/")), parent(rel)).otherwise("")).withColumn("file", F.substring_index(rel, "/", -1))
-    return out.filter(is_image(F.col("file")) & ~F.col("book").rlike("(^|/)[_.]")).select("path", "book", "file", "width", "height", "channels", "data")
+            path, book, file, how, width, height, channels, data = (c[0].as_py() for c in row.columns)
+            error = None
+            try:
+                if width <= 0:
+                    raise ValueError("the image can't be decoded")
+                x = turned(rgb(data, width, height, channels), how)
+                size, data = (x.shape[1], x.shape[0], 3), x.tobytes()
+            except ValueError as e:
+                size, data, error = (None, None, None), None, str(e)
+            cols = [pa.array([v], pa.string()) for v in (path, book, file)] + [pa.array([n], pa.int32()) for n in size]
+            yield pa.record_batch([*cols, pa.array([data], pa.binary()), pa.array([error], pa.string())], names=names)
+
+
+PAGES = "path string, book string, file string, width int, height int, channels int, data binary, error string"
+
+
+def visible(rel: Column) -> Column:
+    """Whether a path below the root is an image of a book that is looked at."""
+    return is_image(F.substring_index(rel, "/", -1)) & ~rel.rlike("(^|/)[_.][^/]*/")
+
+
+def upright(spark: SparkSession, root: str, found: DataFrame, books: list[str] | None = None) -> DataFrame:
+    """PAGES rows of found (path, book, file, orientation, error, rel: the path below root): rasters decoded in the JVM and put
+    upright, or the reason why there is none. Filters on the path choose the files before any is opened."""
+    heads = kept(found, "listing")
+    rel = below(F.col("_metadata.file_path"), root)
+    raw = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root).filter(visible(rel))
+    if books is not None:
+        raw = raw.filter(F.when(F.contains(rel, F.lit("/")), parent(rel)).otherwise("").isin(books))
+    raw = raw.select(rel.alias("rel"), "image.width", "image.height", "image.nChannels", "image.data")
+    good, bad = heads.filter("error is null"), heads.filter("error is not null")
+    side = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good  # rasters stay where they are decoded
+    out = raw.join(side, "rel").select("path", "book", "file", "orientation", "width", "height", "nChannels", "data").mapInArrow(_upright, PAGES)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("width", "int"), ("height", "int"), ("channels", "int"), ("data", "binary"))]
+    return out.unionByName(bad.select("path", "book", "file", *none, "error"))

@@ -1,6 +1,5 @@
 """Folders, decoding, the PDF sink and streaming ingestion on small folders made here."""
 
-import re
 import struct
 import zlib
 
@@ -8,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioloom.sources import folders, pdf
+from folioloom.sources import folders
 from folioloom.streaming import ingest
 
 
@@ -41,24 +40,6 @@ def test_listing(spark, root):
     assert {(r.book, r.n_images) for r in folders.books(found).collect()} == {("", 1), ("b", 3), ("b/vol 1+", 1)}
 
 
-def test_pages(spark, root):
-    got = {(r.book, r.file): np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels) for r in folders.pages(spark, root).collect()}
-    assert sorted(got) == [("", "top.png"), ("b", "p10.png"), ("b", "p2.PNG"), ("b/vol 1+", "a.png"), ("out", "a.png")]
-    assert (got["b", "p10.png"] == PIXELS[3]).all() and (got["b", "p2.PNG"] == PIXELS[1]).all()
-    a = PIXELS[4][..., 3:].astype(int)
-    assert (got["b/vol 1+", "a.png"] == (PIXELS[4][..., :3] * a + 255 * (255 - a)) // 255).all()
-
-
-@pytest.mark.parametrize("order", ["little", "big"])
-def test_orientation(order):
-    e = "<" if order == "little" else ">"
-    tiff = (b"II" if order == "little" else b"MM") + struct.pack(e + "HI", 42, 8) + struct.pack(e + "HHHIHHI", 1, 0x0112, 3, 1, 6, 0, 0)
-    body = b"Exif\0\0" + tiff
-    head = b"\xff\xd8\xff\xe0\0\4ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
-    assert folders.orientation(head) == 6
-    assert folders.orientation(b"") == folders.orientation(head[:9]) == folders.orientation(b"\x89PNG") == 1
-
-
 def test_turned():
     x = np.arange(6).reshape(2, 3, 1)
     assert folders.turned(x, 6)[..., 0].tolist() == np.rot90(x, -1)[..., 0].tolist()
@@ -67,26 +48,6 @@ def test_turned():
     assert folders.turned(x, 5)[..., 0].tolist() == x[..., 0].T.tolist()
 
 
-def test_pdf(spark, tmp_path):
-    x = PIXELS[3]
-    rows = [("a/one", i, 5, 3, 3, x.tobytes(), 144.0) for i in (2, 0, 1)] + [("two", 0, 5, 3, 1, PIXELS[1].tobytes(), 72.0), ("two", 1, 4, 4, 3, b"\xff\xd8\xff-jpeg", 72.0), ("none", 0, 1, 1, 1, None, 72.0)]
-    df = spark.createDataFrame(rows, "name string, page_idx int, width int, height int, channels int, data binary, dpi double")
-    for _ in range(2):  # a repeated run replaces what is there
-        got = {r.name: (r.n_pages, r.n_bytes) for r in pdf.write(df, f"file://{tmp_path}/out", rtl=True).collect()}
-    assert sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["a/one.pdf", "two.pdf"]
-    one, two = ((tmp_path / "out" / f"{n}.pdf").read_bytes() for n in ("a/one", "two"))
-    assert got == {"a/one": (3, len(one)), "two": (2, len(two))}
-    assert b"/MediaBox [0 0 2.500 1.500]" in one and b"/Direction /R2L" in one and b"-jpeg" in two and b"/DCTDecode" in two
-    stream = re.search(rb"FlateDecode /Length (\d+) >>\nstream\n", one)
-    assert zlib.decompress(one[stream.end() : stream.end() + int(stream[1])]) == x.tobytes()
-    for f in (one, two):  # every offset of the table leads to its object
-        at = int(re.search(rb"startxref\n(\d+)", f)[1])
-        for i, line in enumerate(f[at:].split(b"\n")[3:]):
-            if not line.endswith(b" n "):
-                break
-            assert f[int(line[:10]) :].startswith(b"%d 0 obj" % (i + 1))
-
-
 def test_ingest(spark, root, tmp_path):
     batches = []
     run = lambda: ingest.follow(ingest.arrivals(spark, root, exclude="out"), lambda b, n: batches.append({r.book for r in b.collect()}), str(tmp_path / "cp")).awaitTermination(120)
