@@ -213,10 +213,10 @@ def proofs(leaves: DataFrame, finish: Callable, schema: str, keep: list[str]) ->
 
 def steps(row: dict, digest: bytes, proof: list, subroot: str, root: str) -> tuple:
     """A proof as data, for proofs(): subroot, root and the steps up."""
-    return subroot, root, [{"right": r, "hash": s.decode() if s else None} for r, s in proof]
+    return subroot, root, [{"hash": s.decode() if s else None, "right": r} for r, s in proof]
 
 
-STEPS = "subroot string, root string, steps array<struct<right:boolean,hash:string>>"
+STEPS = "subroot string, root string, steps array<struct<hash:string,right:boolean>>"
 
 
 def audit(row: dict, digest: bytes, proof: list, subroot: str, root: str) -> tuple:

@@ -187,13 +187,14 @@ def fit(texts: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple[Mod
     """The model without its curve, and the numbers of learned rows by class (0 and 1). texts: __text (binary), __y and __h
     (hash of the id) of the rows to learn from. The counts that reach the driver have a row a bucket at most; the sample is
     bounded by its two parameters, and fitted in one task."""
-    counts = texts.select("__text", "__y").mapInArrow(lean(_counts), "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
+    counts = texts.select("__text", "__y").mapInArrow(lean(_counts), "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
     of = texts.groupBy("__y").count().toPandas().set_index("__y")["count"]
     n = np.array([of.get(0, 0), of.get(1, 0)])
     if not n.all():
         return None, n
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    pos[counts["bucket"]], neg[counts["bucket"]] = counts["pos"], counts["neg"]
+    at = counts["bucket"].to_numpy()
+    pos[at], neg[at] = counts["pos"].to_numpy(), counts["neg"].to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(log_ratios(pos, neg))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
