@@ -32,11 +32,16 @@ def parsed(texts: DataFrame, text: str = "json") -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, root: str, name: str = FILE) -> DataFrame:
+    """book and json of the files of all books below root."""
+    found = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root)
+    rel = below(F.col("_metadata.file_path"), root)
+    return found.select(F.when(F.contains(rel, F.lit("/")), parent(rel)).otherwise("").alias("book"), F.col("value").alias("json"))
+
+
 def load(spark: SparkSession, root: str, name: str = FILE) -> DataFrame:
     """book, file and the overrides of all books below root."""
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root)
-    rel = below(F.col("_metadata.file_path"), root)
-    return parsed(texts.select(F.when(F.contains(rel, F.lit("/")), parent(rel)).otherwise("").alias("book"), F.col("value").alias("json")))
+    return parsed(texts(spark, root, name))
 
 
 def overridden() -> Column:
@@ -46,20 +51,26 @@ def overridden() -> Column:
 
 
 def written(overrides: DataFrame) -> DataFrame:
-    """book and json: the file of each book, null where nothing is overridden. Null and false items are left out."""
-    at = F.to_json(F.struct(F.col("split_at").alias("at")))
-    entry = F.to_json(F.struct(
+    """book and json: the file of each book, null where nothing is overridden. Null and false items are left out; of rows
+    that name the same file, one stays."""
+    at = F.parse_json(F.to_json(F.struct(F.col("split_at").alias("at"))))
+    entry = F.struct(
         F.when(F.col("skip"), True).alias("skip"), "rotate", "unwarp", F.col("unwarp_curl").alias("unwarpCurl"), "dewarp",
-        F.when(F.col("split_mode") == "at", at).when(F.col("split_mode") == "none", '"none"').alias("split"),
+        F.when(F.col("split_mode") == "at", at).when(F.col("split_mode") == "none", F.parse_json(F.lit('"none"'))).alias("split"),
         F.when(F.size("content") > 0, F.transform_keys("content", lambda k, _: k.cast("string"))).alias("content"),
-    ))
-    # what is JSON already stands as a string in it: its quotes are taken off again
-    entry = F.regexp_replace(F.regexp_replace(entry, r'"split":"\{\\"at\\":([^}]*)\}"', r'"split":{"at":$1}'), r'"split":"\\"none\\""', '"split":"none"')
-    line = F.when(overridden(), F.struct("file", F.concat(F.to_json(F.array("file")), F.lit(":"), entry).alias("line")))
-    lines = overrides.groupBy("book").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    # to_json of a one-element array gives the quoted key within brackets
-    body = F.transform("lines", lambda x: F.regexp_replace(x["line"], r"^\[(.*?)\]:", "$1:"))
-    return lines.select("book", F.when(F.size("lines") > 0, F.concat(F.lit('{"pages":{'), F.array_join(body, ","), F.lit("}}\n"))).alias("json"))
+    )
+    rows = overrides.select("book", "file", F.when(overridden(), F.to_json(entry)).alias("entry"))
+    # entries are one a file, as text, and become JSON again within the map: nothing is cut out of serialised text
+    pages = rows.groupBy("book", "file").agg(F.max("entry").alias("entry")).groupBy("book")
+    some = F.sort_array(F.collect_list(F.when(F.col("entry").isNotNull(), F.struct("file", "entry"))))
+    lines = pages.agg(some.alias("lines"))
+    whole = F.map_from_entries(F.transform("lines", lambda x: F.struct(x["file"], F.parse_json(x["entry"]))))
+    return lines.select("book", F.when(F.size("lines") > 0, F.concat(F.to_json(F.struct(whole.alias("pages"))), F.lit("\n"))).alias("json"))
+
+
+def unreadable(texts: DataFrame, text: str = "json") -> DataFrame:
+    """The other columns of texts that are no JSON, with an error: parsed() has no row for them."""
+    return texts.filter(F.col(text).isNotNull() & F.try_parse_json(text).isNull()).drop(text).withColumn("error", F.lit("the overrides can't be read"))
 
 
 def save(overrides: DataFrame, root: str, name: str = FILE) -> DataFrame:

@@ -148,6 +148,19 @@ def test_overrides_round_trip(spark, tmp_path):
     assert not (tmp_path / "b" / "overrides.json").exists()
 
 
+def test_overrides_of_any_file_name(spark, tmp_path):
+    names = ["p[1]:2.jpg", 'a "b".jpg', "x\\y.png", '{"at":1}.jpg', "tab\t.png", "日本 1.jpg", '"split":"none".gif', "]:"]
+    rows = [("b", n, False, 90 * (i % 4), None, None, None, ("none", "at", None)[i % 3], 0.25 if i % 3 == 1 else None, None) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "book string, file string, skip boolean, rotate int, unwarp boolean, unwarp_curl boolean, dewarp boolean, split_mode string, split_at double, content map<tinyint,struct<x:double,y:double,w:double,h:double>>")
+    again = overrides.parsed(overrides.written(df))
+    assert sorted(map(str, again.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    (tmp_path / "b").mkdir()
+    assert overrides.save(df.unionByName(df), str(tmp_path)).count() == 1 and overrides.load(spark, str(tmp_path)).count() == len(names)
+    (tmp_path / "b" / "overrides.json").write_text('{"pages":{"a.jpg":')
+    found = overrides.texts(spark, str(tmp_path))
+    assert overrides.parsed(found).count() == 0 and [(r.book, bool(r.error)) for r in overrides.unreadable(found).collect()] == [("b", True)]
+
+
 def test_boxes_in_pixels(spark):
     df = spark.createDataFrame([(0.25, 0.5, 0.5, 0.25, 400, 800), (0.5, 0.5, 0.0, 0.1, 10, 10)], "x double, y double, w double, h double, pw int, ph int")
     got = [r[0] for r in df.select(overrides.to_px(F.struct("x", "y", "w", "h"), F.col("pw"), F.col("ph"))).collect()]
