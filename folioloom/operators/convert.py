@@ -20,6 +20,7 @@ from folioloom.sources import folders, folio, overrides, pdf
 from folioloom.sources.work import kept
 
 from . import books
+from .progress import Progress
 
 #: The box of a page (A4 at 300 dpi) and what is done unless options say otherwise.
 OPTIONS = {
@@ -122,9 +123,14 @@ def finished(pages: DataFrame, options: dict | None = None) -> DataFrame:
     return rows.mapInArrow(run, "book string, page_idx int, width int, height int, channels int, data binary")
 
 
-def convert(spark: SparkSession, root: str, target: str, options: dict | None = None, rtl: bool = False, work: str | None = None, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Every book below root (or those named in only) becomes target/<name>.pdf. Gives the books written (name, n_pages, n_bytes) and the report:
-    what process() found on each page, without the rasters."""
+def convert(
+    spark: SparkSession, root: str, target: str, options: dict | None = None, rtl: bool = False, work: str | None = None,
+    only: list[str] | None = None, progress: Progress | None = None, parts: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """Every book below root (or those named in only) becomes target/<name>.pdf. Gives the books written (name, n_pages,
+    n_bytes) and the report: what process() found on each page, without the rasters. With progress the images are worked
+    through in so many parts, each an event when it is committed, and a call with the same folder goes on where one was
+    broken off."""
     options = OPTIONS | (options or {})
     manual = overrides.load(spark, root)
     listed = folio.listing(spark, root, heads=False)
@@ -133,12 +139,30 @@ def convert(spark: SparkSession, root: str, target: str, options: dict | None =
     wanted = books.resolve(listed.select("book", "file"), manual.drop("content"), ["book", "file"], options).select("book", "file")
     if options["max_pages"] is not None:
         wanted = books.page_order(wanted, "book", "file", limit=options["max_pages"]).drop("page_idx")
-    images = folio.pages(spark, root, only=wanted, books=only).withColumn("flattened", F.lit(False))  # there is no learned flattening here
-    chosen = books.resolve(images, manual, ["book", "file"], options, flattened="flattened").drop("flattened")
-    pages = kept(process(chosen, options), "pages", work)
+
+    def part(i: int, n: int) -> DataFrame:
+        images = folio.pages(spark, root, only=wanted, books=only, part=(i, n)).withColumn("flattened", F.lit(False))  # there is no learned flattening here
+        return process(books.resolve(images, manual, ["book", "file"], options, flattened="flattened").drop("flattened"), options)
+
+    if progress is None:
+        pages = kept(part(0, 1), "pages", work)
+    else:
+        totals = kept(wanted.groupBy("book").agg(F.count("*").alias("total")), "totals", work)
+        for i in range(parts):
+            seen = {} if progress.committed(i) else progress.write(part(i, parts), i)
+            done = progress.pages(parts, PAGE).groupBy("book").agg(F.countDistinct("file").alias("done"))
+            progress.add(i, "processed", done, totals, seen)
+        pages = progress.pages(parts, PAGE)
     names = books.output_names(folders.books(listed).withColumn("name", F.when(F.col("book") == "", "book").otherwise(F.substring_index("book", "/", -1))), "name", [natural_key(F.col("book")), "book"])
-    out = finished(pages, options).join(names.select("book", F.regexp_replace("output", r"\.pdf$", "").alias("name")), "book").withColumn("dpi", F.lit(options["dpi"]))
-    return pdf.write(out, target, rtl), pages.drop("data")
+    names = kept(names.select("book", F.regexp_replace("output", r"\.pdf$", "").alias("name")), "names", work)
+    out = finished(pages, options).join(names, "book").withColumn("dpi", F.lit(options["dpi"]))
+    done = pdf.write(out, target, rtl)
+    if progress is not None:
+        sheets = pages.groupBy("book").agg(F.count_if(F.col("error").isNull()).alias("total"))
+        written = names.join(done, "name").select("book", F.col("n_pages").alias("done"), F.concat(F.lit(f"{target}/"), "name", F.lit(".pdf")).alias("file"))
+        progress.add(0, "encoded", written, sheets)
+        progress.add(0, "finished", written, sheets)
+    return done, pages.drop("data")
 
 
 def status(report: DataFrame) -> DataFrame:

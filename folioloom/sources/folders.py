@@ -100,7 +100,7 @@ def visible(rel: Column) -> Column:
     return is_image(F.substring_index(rel, "/", -1)) & ~rel.rlike("(^|/)[_.][^/]*/")
 
 
-def upright(spark: SparkSession, root: str, found: DataFrame, books: list[str] | None = None) -> DataFrame:
+def upright(spark: SparkSession, root: str, found: DataFrame, books: list[str] | None = None, part: tuple[int, int] = (0, 1)) -> DataFrame:
     """PAGES rows of found (path, book, file, orientation, error, rel: the path below root): rasters decoded in the JVM and put
     upright, or the reason why there is none. Filters on the path choose the files before any is opened."""
     heads = kept(found, "listing")
@@ -108,6 +108,8 @@ def upright(spark: SparkSession, root: str, found: DataFrame, books: list[str] |
     raw = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root).filter(visible(rel))
     if books is not None:
         raw = raw.filter(F.when(F.contains(rel, F.lit("/")), parent(rel)).otherwise("").isin(books))
+    if part[1] > 1:
+        raw = raw.filter(F.crc32(rel) % part[1] == part[0])
     raw = raw.select(rel.alias("rel"), "image.width", "image.height", "image.nChannels", "image.data")
     good, bad = heads.filter("error is null"), heads.filter("error is not null")
     side = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good  # rasters stay where they are decoded

@@ -18,6 +18,7 @@ opened. A root without images gives no row; a root that is missing is an error.
 from __future__ import annotations
 
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -176,6 +177,8 @@ class FolioReader(DataSourceReader):
         self.heads = options.get("heads", "true").lower() == "true"
         self.content = options.get("content", "false").lower() == "true"
         self.exclude = options.get("exclude")
+        #: Of how many parts of all paths (by crc32) which one is wanted.
+        self.part, self.parts = (int(options.get(k, d)) for k, d in (("part", "0"), ("parts", "1")))
         #: What filters have left: names that a book and a file must be among, and prefixes that they must have.
         self.among: dict[str, set[str] | None] = {"book": None, "file": None}
         self.prefix: dict[str, list[str]] = {"book": [], "file": []}
@@ -223,18 +226,23 @@ class FolioReader(DataSourceReader):
                     below = f"{book}/{info.base_name}" if book else info.base_name
                     if named is None and self._visible(below) and self._leads(below):
                         todo.append(below)
-                elif info.is_file and _supported(info.base_name) and self._wanted("file", info.base_name):
+                elif info.is_file and _supported(info.base_name) and self._wanted("file", info.base_name) and self._dealt(book, info.base_name):
                     files.append(info.base_name)
             if self._wanted("book", book):
                 files.sort()
                 out += [Folder(book, files[lo : lo + PER]) for lo in range(0, len(files), PER)]
         return out
 
+    def _dealt(self, book: str, name: str) -> bool:
+        return self.parts < 2 or zlib.crc32((f"{book}/{name}" if book else name).encode()) % self.parts == self.part
+
     def _leads(self, folder: str) -> bool:
         """Whether a folder, or one below it, may have the prefixes that books must have."""
         return all(f"{folder}/".startswith(p) or p.startswith(f"{folder}/") or folder.startswith(p) for p in self.prefix["book"])
 
-    def read(self, part: Folder) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Folder | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark's only partition, where there are none
+            return
         store, base = self._store()
         schema = pa.schema([("path", pa.string()), ("book", pa.string()), ("file", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", tz="UTC")), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("orientation", pa.int32()), ("error", pa.string()), ("content", pa.binary())])
         scheme = self.root.split(":", 1)[0] + "://" if "://" in self.root else "file://"
@@ -281,22 +289,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Folio)
 
 
-def listing(spark: SparkSession, root: str, exclude: str | None = None, content: bool = False, heads: bool = True) -> DataFrame:
+def listing(spark: SparkSession, root: str, exclude: str | None = None, content: bool = False, heads: bool = True, part: tuple[int, int] = (0, 1)) -> DataFrame:
     register(spark)
-    read = spark.read.format("folio").option("content", str(content).lower()).option("heads", str(heads).lower())
+    read = spark.read.format("folio").option("content", str(content).lower()).option("heads", str(heads).lower()).option("part", str(part[0])).option("parts", str(part[1]))
     return (read if exclude is None else read.option("exclude", exclude)).load(root)
 
 
-def pages(spark: SparkSession, root: str, exclude: str | None = None, only: DataFrame | None = None, books: list[str] | None = None) -> DataFrame:
+def pages(spark: SparkSession, root: str, exclude: str | None = None, only: DataFrame | None = None, books: list[str] | None = None, part: tuple[int, int] = (0, 1)) -> DataFrame:
     """path, book, file, width, height, channels (3), data (RGB rows) and error of every image: put upright, or why not.
 
     books: those folders alone; neither the listing nor the decoder opens a file of another one. only: rows (book, file) that
-    are wanted. The list of files is read once, and is the small side of a join with what the JVM decodes.
+    are wanted. part: one of so many shares of all paths, the others are not opened either. The list of files is read once, and is the small side of a join with what the JVM decodes.
     """
-    found = listing(spark, root, exclude)
+    found = listing(spark, root, exclude, part=part)
     if books is not None:
         found = found.filter(F.col("book").isin(books))
     if only is not None:
         found = found.join(only.select("book", "file").distinct(), ["book", "file"], "left_semi")
     found = found.select("path", "book", "file", "orientation", "error", folders.below(F.col("path"), root).alias("rel"))
-    return folders.upright(spark, root, found, books)
+    return folders.upright(spark, root, found, books, part)
