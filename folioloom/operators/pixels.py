@@ -3,11 +3,11 @@ page, so pages spread over the cluster and no kernel sees more than one page at
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs
+
 
 def along_row():
     return Window.partitionBy("page_id", "y").orderBy("x")
@@ -148,26 +148,8 @@ def divide_background(g: Column, background: Column, white: int = 235) -> Column
 
 def components(mask: DataFrame) -> DataFrame:
     """8-connected components of pages' ink pixels (page_id, x, y), labelled by their least y * 2**16 + x: page_id, label,
-    left, top, width, height, area. Each page is one group, a raster; labels spread over it by neighbour minima."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        none = np.iinfo(np.int64).max
-        grid = np.full((y.max() + 3, x.max() + 3), none)
-        grid[y + 1, x + 1] = y.astype(np.int64) * 65536 + x
-        ink = grid != none
-        while True:
-            low = np.minimum(grid, np.minimum(np.roll(grid, 1, axis=0), np.roll(grid, -1, axis=0)))
-            low = np.minimum(low, np.minimum(np.roll(low, 1, axis=1), np.roll(low, -1, axis=1)))
-            low = np.where(ink, low, none)
-            if (low == grid).all():
-                break
-            grid = low
-        at = pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "label": grid[y + 1, x + 1], "x": x, "y": y})
-        g = at.groupby(["page_id", "label"]).agg(left=("x", "min"), top=("y", "min"), r=("x", "max"), b=("y", "max"), area=("x", "size")).reset_index()
-        return g.assign(width=g.r - g.left + 1, height=g.b - g.top + 1)[["page_id", "label", "left", "top", "width", "height", "area"]]
-
-    return mask.groupBy("page_id").applyInPandas(one, "page_id long, label long, left int, top int, width int, height int, area long")
+    left, top, width, height, area. They are found on runs."""
+    return runs.components(runs.runs(mask))
 
 
 def content_box(parts: DataFrame) -> DataFrame:
