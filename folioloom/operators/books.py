@@ -105,22 +105,23 @@ def next_numbers(files: DataFrame, book: str, file: str) -> DataFrame:
     return files.groupBy(book).agg((F.coalesce(F.max(F.when(stem < 1 << 32, stem)), F.lit(0)) + 1).alias("next"))
 
 
-def asof_line(probes: DataFrame, knots: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Probes (key, at, ...) with the value of the knots (key, at, value; one a place) at their place: linear between the
+def asof_line(probes: DataFrame, knots: DataFrame, key: str | list[str], at: str, value: str) -> DataFrame:
+    """Probes (key, at, ...; key may be several columns) with the value of the knots (key, at, value; one a place) at their place: linear between the
     nearest knots, constant beyond the ends. One sort by key and place, no join."""
-    cols = [c for c in probes.columns if c not in (key, at)]
-    both = probes.select(key, at, F.lit(1).alias("__probe"), F.lit(None).cast("double").alias("__v"), *cols).unionByName(
-        knots.select(key, at, F.lit(0).alias("__probe"), F.col(value).cast("double").alias("__v")), allowMissingColumns=True
+    key = [key] if isinstance(key, str) else key
+    cols = [c for c in probes.columns if c not in (*key, at)]
+    both = probes.select(*key, at, F.lit(1).alias("__probe"), F.lit(None).cast("double").alias("__v"), *cols).unionByName(
+        knots.select(*key, at, F.lit(0).alias("__probe"), F.col(value).cast("double").alias("__v")), allowMissingColumns=True
     )
     knot = F.when(F.col("__probe") == 0, F.struct(F.col(at).alias("t"), F.col("__v").alias("v")))
-    order = Window.partitionBy(key).orderBy(at, "__probe")
+    order = Window.partitionBy(*key).orderBy(at, "__probe")
     both = both.withColumn("__a", F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    back = Window.partitionBy(key).orderBy(F.desc(at), F.desc("__probe"))  # from behind, so that each row adds one
+    back = Window.partitionBy(*key).orderBy(F.desc(at), F.desc("__probe"))  # from behind, so that each row adds one
     both = both.withColumn("__b", F.last(knot, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     gap = F.col("__b.t") - F.col("__a.t")
     share = F.when(gap < 1e-6, 0.5).otherwise((F.col(at) - F.col("__a.t")) / gap)
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * share
-    return both.filter("__probe = 1").select(key, at, *cols, F.coalesce(line, "__a.v", "__b.v").alias(value))
+    return both.filter("__probe = 1").select(*key, at, *cols, F.coalesce(line, "__a.v", "__b.v").alias(value))
 
 
 def arc_length(rows: DataFrame, key: str, order: str, height: str, step: float) -> DataFrame:

@@ -83,9 +83,15 @@ def test_components_against_flood_fill():
 
 def test_curves_recover_a_quadratic():
     u = np.arange(50) / 25 - 1
-    c = straight.fit(25 + 25 * u, 3 + 2 * u - 0.5 * u * u, 2, 25.0, 1.0)
-    assert np.allclose(c.poly, [3, 2, -0.5], atol=1e-9)
-    assert straight.fit(np.arange(5.0), np.arange(5.0), 4, 2.0, 1.0) is None
+    c, few, cubic = straight.fit_all([(25 + 25 * u, 3 + 2 * u - 0.5 * u * u), (np.arange(5.0), np.arange(5.0)), (25 + 25 * u[:30], u[:30] ** 3)], [2, 4, 3], 25.0, 1.0)
+    assert np.allclose(c.poly, [3, 2, -0.5], atol=1e-9) and few is None and np.allclose(cubic.poly, [0, 0, 0, 1], atol=1e-9) and (cubic.x0, cubic.x1) == (0.0, 29.0)
+    assert straight.fit_all([], [], 25.0, 1.0) == []
+    y = 3 + 2 * u - 0.5 * u * u
+    y[::7] += 90
+    odd, still = straight.fit_all([(25 + 25 * u, y), (25 + 25 * u, 0 * u)], [2, 2], 25.0, 1.0, 2.0)
+    assert np.allclose(odd.poly, [3, 2, -0.5], atol=1e-9) and odd.x0 == 1.0 and np.allclose(still.line, 0)
+    wild = np.random.default_rng(1).uniform(-50, 50, 50)
+    assert straight.fit_all([(25 + 25 * u, wild)], [2], 25.0, 1.0, 2.0) == [None]
 
 
 def test_bent_lines_become_straight():
