@@ -7,15 +7,17 @@ fall together first (one representative a set). Then two rounds of candidate pai
 * Prefix filtering completes the join. Sets that link have a first n-gram in common, in the global order, that stands among
   the first n - ceil(t * n) + 1 of both; what they share lies in it and behind it, so the shorter remainder bounds the
   overlap. A pair is a candidate where an n-gram's positions leave room for a link, unless both are connected already (a
-  component needs no second link) or parity bitmaps of the sets exclude it. Groups of one n-gram with over BLOCK members
-  are dealt as blocks that meet pairwise in tasks of their own.
+  component needs no second link) or parity bitmaps of the sets exclude it. Members with a partner leave their group first,
+  once each; pairs are then compared by bitmap inside the group, and only what stays is written. Groups of one n-gram with
+  over BLOCK members are dealt as blocks that meet pairwise in tasks of their own.
 
 Verification is a prefix-tree join: the partners of a probe set are kept in order, which is a trie's depth-first order; a
 partner starts from the overlap at its last common node with the one before, and a subtree is left as soon as the overlap
 so far and the n-grams left cannot reach the threshold. Components come from min-label propagation with pointer jumping.
 
-Nulls: a null text or one without words has an empty set and no link; a row with a null id links with nothing and has a null
-component. Rows that share an id are one document, linked with all that any of them is linked with. Very long texts are one
+Nulls: a null text or one without words has an empty set and no link. Rows with a null id link as documents of their own, one
+a text; their component is the smallest id that they reach, null if there is none. Ids lie below 2**62. Rows that share an id
+are one document, linked with all that any of them is linked with. Very long texts are one
 set each, held in one task at a time. An empty table gives an empty result.
 """
 
@@ -43,6 +45,8 @@ BITMAP = 1024
 IDS, PARTNERS, HELD = 500_000, 256, 16 << 20
 #: Members of one prefix n-gram that meet in one task; prefix n-grams that are counted or rows that are paired at once.
 BLOCK, FLUSH = 2000, 100_000
+#: Pairs of bitmaps compared at once; the least id given to a row without one.
+COMPARED, NAMELESS = 50_000, 1 << 62
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -352,9 +356,41 @@ def group_pairs(g: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray,
         d += 1
 
 
-def prefix_pairs(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes (id, label, n, prefix): they share a prefix n-gram, are not connected, and its positions in
-    both leave room for a link with nothing shared before."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The columns of batches, which begin with g and cell, in stretches that end where a group ends: a list of NumPy arrays,
+    or of Python lists where a column is binary."""
+
+    def columns(b):
+        return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns]
+
+    def joined(held):
+        return [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for c in zip(*held)]
+
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(columns(batch))
+        n += batch.num_rows
+        if n >= FLUSH:
+            cols = joined(held)
+            # the last group waits for the rest of its rows
+            end = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] >> 2 == cols[1][-1] >> 2)))
+            if end:
+                yield [c[:end] for c in cols]
+            held, n = [[c[end:] for c in cols]], 0
+    if held:
+        yield joined(held)
+
+
+def _group_key(g: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.concatenate(([0], (g[1:] != g[:-1]) | (cell[1:] >> 2 != cell[:-1] >> 2))))
+
+
+def prefix_members(nodes: DataFrame) -> DataFrame:
+    """Rows (g, cell, id, label, at) of nodes (id, label, n, prefix) with at least one candidate partner in the group of a
+    prefix n-gram: not connected, and with positions that leave room for a link with nothing shared before. A group gives each
+    of its members once at most, however many pairs they form."""
     rows = nodes.select("id", "label", "n", F.posexplode("prefix").alias("pos", "g"))
     hot = stage(hot_grams(nodes), "jaccard-hot")
     cell = F.lit(0).cast("long")
@@ -367,39 +403,72 @@ def prefix_pairs(nodes: DataFrame) -> DataFrame:
     rows = rows.select("g", cell.alias("cell"), "id", "label", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(cols):
-            g, cell, ids, label, at = cols
-            key = np.cumsum(np.concatenate(([0], (g[1:] != g[:-1]) | (cell[1:] >> 2 != cell[:-1] >> 2))))
-            for a, b in group_pairs(key, cell & 3, at >> 32, at & 0xFFFFFFFF, ids, label):
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for cols in _groups(batches):
+            g, cell, _, label, at = cols
+            partner = np.zeros(len(g), dtype=bool)
+            for i, j in group_pairs(_group_key(g, cell), cell & 3, at >> 32, at & 0xFFFFFFFF, np.arange(len(g)), label):
+                partner[i] = partner[j] = True
+            yield pa.record_batch([pa.array(c[partner]) for c in cols], names=["g", "cell", "id", "label", "at"])
+
+    return dealt(rows).mapInArrow(lean(run), "g long, cell long, id long, label long, at long")
 
-        held, n = [], 0
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            n += batch.num_rows
-            if n >= FLUSH:
-                cols = [np.concatenate(c) for c in zip(*held)]
-                # the last group waits for the rest of its rows
-                end = int(np.argmax((cols[0] == cols[0][-1]) & (cols[1] >> 2 == cols[1][-1] >> 2)))
-                if end:
-                    yield from pairs([c[:end] for c in cols])
-                held, n = [[c[end:] for c in cols]], 0
-        if held:
-            cols = [np.concatenate(c) for c in zip(*held)]
-            if len(cols[0]):
-                yield from pairs(cols)
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, F.col("g"), F.shiftright("cell", 2)).sortWithinPartitions("g", F.shiftright("cell", 2))
-    return rows.mapInArrow(lean(run), "a long, b long").filter("a < b").distinct()
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows by group, the blocks of a hot one apart."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, F.col("g"), F.shiftright("cell", 2)).sortWithinPartitions("g", F.shiftright("cell", 2))
+
+
+class Bitmaps:
+    """The bitmaps of some rows, by length, for comparison pair by pair."""
+
+    def __init__(self, maps: list[bytes]):
+        self.lens = np.array([len(m) for m in maps], dtype=np.int64)
+        self.place, self.tables = np.zeros(len(maps), dtype=np.int64), {}
+        for n in np.unique(self.lens).tolist():
+            rows = np.flatnonzero(self.lens == n)
+            self.place[rows] = np.arange(len(rows))
+            self.tables[n] = np.frombuffer(b"".join([maps[i] for i in rows]), dtype=np.uint8).reshape(len(rows), n)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the bitmaps of rows i and j differ, the larger one folded to the size of the smaller."""
+        out = np.zeros(len(i), dtype=np.int64)
+        for x, y in set(zip(self.lens[i].tolist(), self.lens[j].tolist())):
+            at = np.flatnonzero((self.lens[i] == x) & (self.lens[j] == y))
+            u, v = (np.bitwise_xor.reduce(self.tables[n][self.place[r[at]]].reshape(len(at), -1, min(x, y)), axis=1) for n, r in ((x, i), (y, j)))
+            out[at] = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def prefix_pairs(nodes: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of nodes: they share a prefix n-gram, are not connected, and neither its positions nor their
+    bitmaps (id, bitmap) exclude a link. Pairs are compared where the group stands; only those that stay leave the task."""
+    members = stage(prefix_members(nodes), "jaccard-members")
+    rows = dealt(members.join(bitmaps.select("id", "bitmap"), "id").select("g", "cell", "id", "label", "at", "bitmap"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num, den = THRESHOLD
+        for g, cell, ids, label, at, maps in _groups(batches):
+            n, held = at >> 32, Bitmaps(maps)
+            for i, j in group_pairs(_group_key(g, cell), cell & 3, n, at & 0xFFFFFFFF, np.arange(len(g)), label):
+                for lo in range(0, len(i), COMPARED):
+                    a, b = i[lo : lo + COMPARED], j[lo : lo + COMPARED]
+                    both = n[a] + n[b]
+                    ok = ((both - held.apart(a, b)) // 2 >= -(-num * both // (num + den))) & (ids[a] != ids[b])
+                    a, b = ids[a[ok]], ids[b[ok]]
+                    if len(a):
+                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n and component of every row."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = slim.filter("id is not null")
-    all_ = stage(features(slim, frequent(known)), "jaccard-features")
-    full = all_.filter("id is not null and n > 0")
+    own = F.col(id_col).cast("long")
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(NAMELESS))
+    known = docs.select(F.coalesce(own, nameless).alias("id"), F.col(text_col).alias("text"))
+    all_ = stage(features(known, frequent(known)), "jaccard-features")
+    full = all_.filter("n > 0")
     first = stage(full.groupBy("digest").agg(F.min("id").alias("rep")), "jaccard-sets-once")
     reps = full.join(first, (full.digest == first.digest) & (full.id == first.rep), "left_semi").dropDuplicates(["id", "digest"])
     keys = reps.select("id", F.explode("bands").alias("band"))
@@ -409,8 +478,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links = stage(verify(known, stage(may_link(stars, once), "jaccard-stars")), "jaccard-links")
     label = components(links)
     nodes = reps.select("id", "n", "prefix").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    more = stage(prefix_pairs(nodes), "jaccard-pairs")
-    links = links.union(stage(verify(known, stage(may_link(more, once), "jaccard-pairs")), "jaccard-links"))
+    links = links.union(stage(verify(known, stage(prefix_pairs(nodes, once), "jaccard-pairs")), "jaccard-links"))
     # copies meet in their representatives, and so do the texts of rows that share an id
     of = full.select("id", "digest").join(first, "digest").select("id", "rep")
     shared = of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a")
@@ -418,7 +486,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     label = components(links)
     of = of.join(label.select(F.col("id").alias("rep"), "label"), "rep", "left")
     label = of.groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("label"))
-    return all_.select("id", "n").join(label, "id", "left").select("id", "n", F.coalesce("label", "id").alias("component"))
+    named = lambda c: F.when(c < NAMELESS, c)
+    return all_.select("id", "n").join(label, "id", "left").select(named(F.col("id")).alias("id"), "n", named(F.coalesce("label", "id")).alias("component"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
