@@ -170,12 +170,38 @@ def united(names, links):
 @pytest.mark.parametrize("block", [2000, 3])
 def test_jaccard(docs, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    sets = [(r.doc_id, shingle_set(r.text)) for r in docs.collect()]
-    top = united({i for i, _ in sets if i is not None}, [(i, j) for i, a in sets for j, b in sets if None not in (i, j) and alike(a, b)])
-    want = sorted((i, len(s), top[i]) for i, s in sets if i is not None)
+    # a row without an id is a document by its text, behind all that have one
+    sets = [(10**9 + hash(r.text) % 10**9 if r.doc_id is None else r.doc_id, shingle_set(r.text)) for r in docs.collect()]
+    top = united({i for i, _ in sets}, [(i, j) for i, a in sets for j, b in sets if alike(a, b)])
+    named = lambda i: i if i < 10**9 else None
+    want = sorted(((named(i), len(s), named(top[i])) for i, s in sets), key=str)
     got = jaccard.link(docs).collect()
-    assert sorted((r.id, r.n, r.component) for r in got if r.id is not None) == want
-    assert all(r.component is None for r in got if r.id is None) and len(got) == len(sets)
+    assert sorted(((r.id, r.n, r.component) for r in got), key=str) == want
+
+
+def test_jaccard_links_through_a_row_without_id(spark):
+    w = [f"w{k}" for k in range(120)]
+    left, middle, right = w[:100], w[7:107], w[14:114]  # neighbours are alike, the outer two are not
+    sets = [shingle_set(" ".join(x)) for x in (left, middle, right)]
+    assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
+    rows = [(9, " ".join(left)), (None, " ".join(middle)), (1, " ".join(right)), (None, "nothing like the others is here at all"), (None, None)]
+    got = {(r.id, r.component) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(9, 1), (None, 1), (1, 1), (None, None)}
+
+
+def test_jaccard_candidates_do_not_grow_with_the_square_of_a_group(spark):
+    """Sets that share three quarters of their n-grams never link; their pairs stay in their tasks."""
+    r = random.Random(3)
+    shared = [f"s{k}" for k in range(604)]
+    made = {}
+    for n in (100, 200, 400):
+        rows = [(i, " ".join(shared + [f"x{i}_{r.random()}" for _ in range(100)])) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumnRenamed("doc_id", "id")
+        full = jaccard.stage(jaccard.features(df, jaccard.frequent(df)), "t")
+        nodes = full.select("id", "n", "prefix", F.col("id").alias("label"))
+        members = jaccard.prefix_members(nodes).count()
+        made[n] = members, jaccard.prefix_pairs(nodes, full.select("id", "bitmap")).count()
+    assert all(pairs == 0 for _, pairs in made.values()) and made[400][0] <= 4.4 * max(made[100][0], 1)
 
 
 def test_keep_first(docs):
