@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, natural_key, quantile
+from ..sources.work import kept
 
 
 def resolve(images: DataFrame, overrides: DataFrame, keys: list[str], options: dict, flattened: str | None = None) -> DataFrame:
@@ -68,35 +70,75 @@ def first_of_each(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def placed(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """rows with __i, from 1: their place within the key. Ranges of (key, order) are sorted apart and shifted by the counts of
+    the ranges before, so a key that most rows share is not sorted in one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(rows, "names").repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order)
+    ranged = kept(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()), "ranges")
+    runs = ranged.groupBy(key, "__part").agg(F.min("__seq").alias("__first"), F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.partitionBy(key).orderBy("__part")) - F.col("__rows")
+    runs = kept(runs.select(key, "__part", (before - F.col("__first") + 1).alias("__shift")), "runs")
+    return ranged.join(runs, [key, "__part"]).withColumn("__i", F.col("__seq") + F.col("__shift")).drop("__part", "__seq", "__shift")
+
+
+#: A name that a numbered one may clash with: what stands before its number, and the number.
+NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]+)\)$"
+
+
 def output_names(books: DataFrame, name: str, order: list) -> DataFrame:
     """books with output: name.pdf for the first book of a name (without case), then name (2).pdf and so on, the first one
-    that no book before it has taken. Only names that can clash with numbered ones are settled one after the other."""
-    family = F.lower(F.regexp_replace(name, r"( \(\d+\))+$", ""))
-    all_ = Window.partitionBy("__family")
-    rows = books.withColumn("__family", family).withColumn("__odd", F.max(F.lower(name) != F.col("__family")).over(all_))
-    rows = rows.withColumn("__turn", F.row_number().over(all_.orderBy(*order)))
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy("__turn"))
-    plain = rows.filter(~F.col("__odd")).withColumn("__n", n)
-    plain = plain.withColumn("output", F.concat(F.col(name), F.when(F.col("__n") > 1, F.format_string(" (%d)", "__n")).otherwise("")))
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        taken, last, out = set(), {}, []
-        group = group.sort_values("__turn")
-        for own in group[name]:
-            n = last.get(own.lower(), 1)
-            full = own if n == 1 else f"{own} ({n})"
-            while full.lower() in taken:
-                n += 1
-                full = f"{own} ({n})"
-            last[own.lower()] = n
-            taken.add(full.lower())
-            out.append(full)
-        return group.assign(output=out)
-
-    odd = rows.filter("__odd")
-    odd = odd.groupBy("__family").applyInPandas(settle, odd.withColumn("output", F.lit("")).schema)
-    both = plain.drop("__n").unionByName(odd).drop("__family", "__odd", "__turn")
-    return both.withColumn("output", F.concat("output", F.lit(".pdf")))
+    that no book before it has taken.
+
+    The books of one name take growing numbers, by their places, but for the numbers that a book before them bears in its own
+    name; where a name has such namesakes, numbers move up past those that are met, name by name from its first book that meets
+    one, until none is met. A book whose own name
+    was taken by a numbered one before it is numbered itself; so names are settled by how many numbers they end in, plain
+    ones first.
+    """
+    rows = books.withColumn("__key", F.lower(F.coalesce(name, F.lit(""))))
+    turns = placed(rows.withColumn("__all", F.lit(0)), "__all", order).withColumnRenamed("__i", "__turn").drop("__all")
+    rows = kept(placed(turns, "__key", ["__turn"]), "turns")
+    parts = F.regexp_extract("__key", NUMBERED, 2)
+    first = rows.filter("__i = 1").select(F.regexp_extract("__key", NUMBERED, 1).alias("stem"), parts.try_cast("long").alias("number"), F.col("__key").alias("bearer"), F.col("__turn").alias("since"))
+    first = kept(first.filter("number is not null"), "bearers")
+    # only where the stem is a name too do numbers meet
+    deep = F.length(F.regexp_replace(F.regexp_extract("__key", r"(?s)(( \([0-9]+\))*)$", 1), r"[^(]", ""))
+    names = kept(rows.select("__key", deep.alias("depth")).distinct(), "depths")
+    bearing = kept(first.join(names.select(F.col("__key").alias("stem")), "stem"), "bearing")
+    plain = rows.withColumn("__k", F.col("__i"))
+    if not bearing.take(1):
+        return _named(plain, name)
+    odd = kept(bearing.select(F.col("stem").alias("__key")).union(bearing.select("bearer")).distinct(), "odd")
+    done, settled = [plain.join(odd, "__key", "left_anti")], None
+    for depth in range(int(names.agg(F.max("depth")).first()[0]) + 1):
+        mine = rows.join(odd.join(names.filter(F.col("depth") == depth), "__key").select("__key"), "__key")
+        if settled is not None:  # the bare name is lost where the stem's books took the number before
+            lost = bearing.join(settled.select(F.col("__key").alias("stem"), F.col("__k").alias("number"), F.col("__turn").alias("at")), ["stem", "number"]).filter("at < since").select(F.col("bearer").alias("__key"), F.lit(1).alias("lost"))
+            mine = mine.join(lost, "__key", "left")
+        else:
+            mine = mine.withColumn("lost", F.lit(None).cast("int"))
+        state = kept(mine.withColumn("__k", F.col("__i") + F.coalesce("lost", F.lit(0))).drop("lost"), "claims")
+        while True:
+            met = state.filter("__k > 1").join(bearing.select(F.col("stem").alias("__key"), F.col("number").alias("__k"), "since"), ["__key", "__k"]).filter(F.col("since") < F.col("__turn"))
+            # of each name the first book that meets one: it and those behind move past all that stand in a row before it
+            met = kept(met.groupBy("__key").agg(F.min(F.struct("__i", "__k", "__turn")).alias("at")), "met")
+            if not met.take(1):
+                break
+            ahead = met.join(bearing.select(F.col("stem").alias("__key"), "number", "since"), "__key").filter((F.col("since") < F.col("at.__turn")) & (F.col("number") >= F.col("at.__k")))
+            ahead = ahead.groupBy("__key", "at").agg(F.sort_array(F.collect_set("number")).alias("row"))
+            gap = F.size(F.filter("row", lambda v, i: v == F.col("at.__k") + i))
+            state = state.join(ahead.select("__key", F.col("at.__i").alias("from"), gap.alias("gap")), "__key", "left")
+            state = state.withColumn("__k", F.col("__k") + F.when(F.col("__i") >= F.col("from"), F.col("gap")).otherwise(0)).drop("from", "gap")
+            state = kept(state, "claims")
+        settled = state if settled is None else settled.unionByName(state)
+        done.append(state)
+    return _named(reduce(DataFrame.unionByName, [d.select(plain.columns) for d in done]), name)
+
+
+def _named(rows: DataFrame, name: str) -> DataFrame:
+    full = F.concat(name, F.when(F.col("__k") > 1, F.format_string(" (%d)", "__k")).otherwise(""), F.lit(".pdf"))
+    return rows.withColumn("output", full).drop("__key", "__turn", "__i", "__k")
 
 
 def next_numbers(files: DataFrame, book: str, file: str) -> DataFrame:

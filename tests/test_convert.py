@@ -181,6 +181,28 @@ def test_names_never_clash(spark):
     assert dict(map(tuple, books.next_numbers(files, "book", "file").collect())) == {"b": 8, "c": 1}
 
 
+def sequential_names(names):
+    taken, out = set(), []
+    for own in names:
+        n, full = 1, own
+        while full.lower() in taken:
+            n += 1
+            full = f"{own} ({n})"
+        taken.add(full.lower())
+        out.append(f"{full}.pdf")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_names_equal_those_given_one_after_the_other(spark, seed):
+    r = np.random.default_rng(seed)
+    pool = ["a", "A", "a (2)", "a (3)", "a (2) (2)", "a (02)", "a (1)", "a (4)", "a (2) (3)", "b", "b (2)", "c (2)", "(2)", " (2)", "x\n (2)", "a (2) (2) (2)"]
+    names = [str(pool[i]) for i in r.integers(0, len(pool) if seed else 4, 120)]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, name string").repartition(5)
+    got = [x.output for x in books.output_names(df, "name", ["i"]).orderBy("i").collect()]
+    assert got == sequential_names(names)
+
+
 def test_book_from_end_to_end(spark, tmp_path):
     at = tmp_path / "in" / "my book"
     at.mkdir(parents=True)
