@@ -123,6 +123,13 @@ def finished(pages: DataFrame, options: dict | None = None) -> DataFrame:
     return rows.mapInArrow(run, "book string, page_idx int, width int, height int, channels int, data binary")
 
 
+def names(listed: DataFrame) -> DataFrame:
+    """book and name, the path of its output below the target without the ending, of all books of a listing."""
+    own = F.when(F.col("book") == "", "book").otherwise(F.substring_index("book", "/", -1))
+    found = books.output_names(folders.books(listed).withColumn("name", own), "name", [natural_key(F.col("book")), "book"])
+    return found.select("book", F.regexp_replace("output", r"\.pdf$", "").alias("name"))
+
+
 def convert(
     spark: SparkSession, root: str, target: str, options: dict | None = None, rtl: bool = False, work: str | None = None,
     only: list[str] | None = None, progress: Progress | None = None, parts: int = 1,
@@ -133,8 +140,8 @@ def convert(
     broken off."""
     options = OPTIONS | (options or {})
     manual = overrides.load(spark, root)
-    listed = folio.listing(spark, root, heads=False)
-    listed = kept((listed if only is None else listed.filter(F.col("book").isin(only))).select("book", "file", "modified"), "images", work)
+    every = kept(folio.listing(spark, root, heads=False).select("book", "file", "modified"), "images", work)
+    listed = every if only is None else every.filter(F.col("book").isin(only))
     # what is skipped, or beyond the first pages, is settled on names alone
     wanted = books.resolve(listed.select("book", "file"), manual.drop("content"), ["book", "file"], options).select("book", "file")
     if options["max_pages"] is not None:
@@ -153,13 +160,12 @@ def convert(
             done = progress.pages(parts, PAGE).groupBy("book").agg(F.countDistinct("file").alias("done"))
             progress.add(i, "processed", done, totals, seen)
         pages = progress.pages(parts, PAGE)
-    names = books.output_names(folders.books(listed).withColumn("name", F.when(F.col("book") == "", "book").otherwise(F.substring_index("book", "/", -1))), "name", [natural_key(F.col("book")), "book"])
-    names = kept(names.select("book", F.regexp_replace("output", r"\.pdf$", "").alias("name")), "names", work)
-    out = finished(pages, options).join(names, "book").withColumn("dpi", F.lit(options["dpi"]))
+    named = kept(names(every), "names", work)  # of all books: what one is called depends on the others
+    out = finished(pages, options).join(named, "book").withColumn("dpi", F.lit(options["dpi"]))
     done = pdf.write(out, target, rtl)
     if progress is not None:
         sheets = pages.groupBy("book").agg(F.count_if(F.col("error").isNull()).alias("total"))
-        written = names.join(done, "name").select("book", F.col("n_pages").alias("done"), F.concat(F.lit(f"{target}/"), "name", F.lit(".pdf")).alias("file"))
+        written = named.join(done, "name").select("book", F.col("n_pages").alias("done"), F.concat(F.lit(f"{target}/"), "name", F.lit(".pdf")).alias("file"))
         progress.add(0, "encoded", written, sheets)
         progress.add(0, "finished", written, sheets)
     return done, pages.drop("data")
