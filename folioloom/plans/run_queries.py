@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import displacement as D
 from ..operators import fits
+from ..operators import projections as P
 from ..operators import runs as R
 from ..operators import skew as K
 from .queries import COMPONENTS, PX, pages, query, table
@@ -195,3 +196,32 @@ def inverse_lengths(spark, sf_dir):
     q = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", (F.col("o_totalprice") / 10).alias("s"))
     q = q.join(k.select("user_id").distinct(), "user_id", "left_semi")
     return D.inverted(q, k, ["user_id"], "s", "p").select("user_id", "o_orderkey", F.round("p", 6).alias("p"))
+
+
+def grids(spark, sf_dir):
+    """Vectors as projections, seen on grids of 5 by 4 nodes whose inner nodes are bent."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    n = e.select("vec_id", "e", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("n")).select("vec_id", "e", (F.col("n") % 5).alias("i"), F.floor(F.col("n") / 5).cast("int").alias("j"))
+    s, t, v = F.col("i") / 4, F.col("j") / 3, F.col("e")
+    d = 1 + 0.2 * v[6] * s + 0.2 * v[7] * t
+    inner = F.col("i").between(1, 3) & F.col("j").between(1, 2)
+    u = ((1 + 0.2 * v[0]) * s + 0.2 * v[1] * t + v[2]) / d + F.when(inner, 0.05).otherwise(0.0)
+    w = (0.2 * v[3] * s + (1 + 0.2 * v[4]) * t + v[5]) / d - F.when(inner, 0.03).otherwise(0.0)
+    return n.select("vec_id", "i", "j", F.lit(5).alias("gw"), F.lit(4).alias("gh"), u.alias("u"), w.alias("v"))
+
+
+@query("""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(20)) AS n FROM embeddings), p AS (SELECT vec_id, (n % 5)::INT AS i, (n // 5)::INT AS j, (n % 5) / 4.0::DOUBLE AS s, (n // 5) / 3.0::DOUBLE AS t, e FROM n)
+SELECT vec_id, i, j, round(((1 + 0.2 * e[1]) * s + 0.2 * e[2] * t + e[3]) / (1 + 0.2 * e[7] * s + 0.2 * e[8] * t), 7) + 0.0 AS u, round((0.2 * e[4] * s + (1 + 0.2 * e[5]) * t + e[6]) / (1 + 0.2 * e[7] * s + 0.2 * e[8] * t), 7) + 0.0 AS v FROM p""")
+def flat_grids(spark, sf_dir):
+    out = P.without_bends(grids(spark, sf_dir), ["vec_id"])
+    return out.select("vec_id", "i", "j", *[(F.round(c, 7) + F.lit(0.0)).alias(c) for c in "uv"])
+
+
+@query("""WITH w AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = 4 AND bool_and(l_returnflag <> 'R'))
+SELECT l_orderkey AS image, l_linenumber AS half, l_quantity AS x FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM w)
+UNION ALL SELECT o_orderkey, -1, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM w)""")
+def gate_of_halves(spark, sf_dir):
+    """Orders as images, their lines as the parts of a second pass."""
+    second = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("half"), F.col("l_quantity").alias("x"), "l_returnflag")
+    first = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_totalprice").alias("x"))
+    return P.gated(first, second, ["image"], F.col("l_returnflag") != "R", parts=4).select("image", F.coalesce("half", F.lit(-1)).alias("half"), "x")
