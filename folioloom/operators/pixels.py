@@ -49,18 +49,31 @@ def box_smooth(profile: DataFrame, value: str, radius: int, out: str) -> DataFra
     return profile.withColumn(out, F.avg(value).over(Window.partitionBy("page_id").orderBy("x").rowsBetween(-radius, radius)))
 
 
+def smoothed(v: Column, radius: Column) -> Column:
+    """The mean of an array's values within radius of each, fewer at the ends."""
+
+    def one(_, x):
+        low, high = F.greatest(x - radius, F.lit(0)), F.least(x + radius, F.size(v) - 1)
+        return F.aggregate(F.slice(v, low + 1, high - low + 1), F.lit(0.0), lambda a, e: a + e) / (high - low + 1)
+
+    return F.transform(v, one)
+
+
 def gutter(px: DataFrame, ink_below: int, half_width: float = 0.15) -> DataFrame:
-    """page_id, x and score of the column that is emptiest, darkest against its surroundings and nearest the middle; the
-    first one wins a tie. Profiles are smoothed over a hundredth (two columns at least) and a fifteenth of the width."""
-    p = column_profile(px, ink_below)
-    w = F.max("x").over(Window.partitionBy("page_id")) + 1
-    p = p.withColumn("w", w)
-    p = box_smooth(box_smooth(box_smooth(p, "ink", 2, "near_ink"), "lum", 2, "near"), "lum", 3, "wide")
-    empty = 1 - F.coalesce(F.try_divide("near_ink", F.max("near_ink").over(page())), F.lit(0.0))
-    dark = F.least(F.greatest((F.col("wide") - F.col("near")) / 40, F.lit(0.0)), F.lit(1.0))
-    off = F.abs((F.col("x") + 0.5) / F.col("w") - 0.5)
-    score = F.round((empty + dark) * (1 - off / half_width * 0.3), 9)
-    best = p.withColumn("score", score).filter(off <= half_width).groupBy("page_id").agg(F.max(F.struct("score", (-F.col("x")).alias("x"))).alias("b"))
+    """page_id, x and score of the column near the middle (within half_width of the width) that is emptiest, darkest against
+    its surroundings and nearest the middle; the first one wins a tie. Profiles are smoothed over a hundredth of the width on
+    either side (two columns at least), the surroundings over a fifteenth. A page's profile is one row."""
+    p = column_profile(px, ink_below).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("x", F.col("ink").cast("double").alias("ink"), F.col("lum").cast("double").alias("lum")))).alias("p"))
+    w = F.size("p")
+    near = F.greatest(F.floor(w / 100), F.lit(2)).cast("int")
+    p = p.select("page_id", "p", smoothed(F.col("p.ink"), near).alias("ink"), smoothed(F.col("p.lum"), near).alias("lum"), smoothed(F.col("p.lum"), F.floor(w / 15).cast("int")).alias("wide"))
+    low, high = (F.floor(w * (0.5 + side * half_width)).cast("int") for side in (-1, 1))
+    most = F.greatest(F.array_max(F.slice("ink", low + 1, F.greatest(high - low, F.lit(0)))), F.lit(1e-9))
+    p = p.withColumn("most", most).withColumn("x", F.explode(F.filter(F.sequence(F.lit(0), w - 1), lambda x: (x >= low) & (x < high))))
+    at = lambda c: F.element_at(c, F.col("x") + 1)
+    dark = F.least(F.greatest((at("wide") - at("lum")) / 40, F.lit(0.0)), F.lit(1.0))
+    score = F.round((1 - at("ink") / F.col("most") + dark) * (1 - F.abs(F.col("x") / w - 0.5) / half_width * 0.3), 9)
+    best = p.select("page_id", "x", score.alias("score")).groupBy("page_id").agg(F.max(F.struct("score", (-F.col("x")).alias("x"))).alias("b"))
     return best.select("page_id", (-F.col("b.x")).alias("x"), F.col("b.score").alias("score"))
 
 

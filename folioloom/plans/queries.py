@@ -109,10 +109,9 @@ def column_profile(spark, sf_dir):
 
 
 @query(f"""WITH {PX}, p AS (SELECT page_id, x, avg((g <= 100)::INT) AS ink, avg(g) AS lum FROM px GROUP BY page_id, x),
-q AS (SELECT *, avg(ink) OVER (PARTITION BY page_id ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ni, avg(lum) OVER (PARTITION BY page_id ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS nl,
-  avg(lum) OVER (PARTITION BY page_id ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS wl FROM p),
-r AS (SELECT page_id, x, abs((x + 0.5) / 8.0 - 0.5) AS off, round((1 - coalesce(ni / nullif(max(ni) OVER (PARTITION BY page_id), 0), 0) + least(greatest((wl - nl) / 40, 0), 1)) * (1 - abs((x + 0.5) / 8.0 - 0.5) / 0.15 * 0.3), 9) AS score FROM q)
-SELECT page_id, x, score FROM r WHERE off <= 0.15 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, x) = 1""")
+q AS (SELECT *, avg(ink) OVER w AS near_ink, avg(lum) OVER w AS near FROM p WINDOW w AS (PARTITION BY page_id ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+r AS (SELECT page_id, x, round((1 - near_ink / greatest(max(near_ink) OVER (PARTITION BY page_id), 1e-9) + least(greatest((lum - near) / 40, 0), 1)) * (1 - abs(x / 8.0 - 0.5) / 0.15 * 0.3), 9) AS score FROM q WHERE x >= 2 AND x < 5)
+SELECT page_id, x, score FROM r QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, x) = 1""")
 def gutter_search(spark, sf_dir):
     return P.gutter(pages(spark, sf_dir), 100)
 

@@ -117,3 +117,23 @@ def test_skew_of_pages_of_lines(spark):
     dot = np.zeros((60, 60), dtype=bool)
     dot[30, 30] = True
     assert skew.skew(pixels(spark, [dot]), F.lit(60), F.lit(60), least=1).first().angle == -5.0
+
+
+def test_gutter_of_a_spread(spark):
+    """A wide page, against the same search written for one profile."""
+    from folioloom.operators import pixels as kernels
+
+    r = np.random.default_rng(6)
+    w, h = 300, 30
+    img = np.full((h, w), 240)
+    img[:, 20:140] = np.where(r.random((h, 120)) < 0.3, 20, 240)
+    img[:, 165:280] = np.where(r.random((h, 115)) < 0.3, 20, 240)
+    img[:, 148:153] -= 60
+    df = spark.createDataFrame([(1, x, y, int(img[y, x])) for y in range(h) for x in range(w)], "page_id long, x int, y int, g int")
+    inner = img[3:27]
+    ink, lum = (inner <= 100).mean(axis=0), inner.mean(axis=0)
+    mean = lambda v, k: np.array([v[max(0, x - k) : x + k + 1].mean() for x in range(w)])
+    near, dark = mean(ink, 3), np.clip((mean(lum, 20) - mean(lum, 3)) / 40, 0, 1)
+    score = (1 - near / near[105:195].max() + dark) * (1 - np.abs(np.arange(w) / w - 0.5) / 0.15 * 0.3)
+    got = kernels.gutter(df, 100).first()
+    assert got.x == 105 + score[105:195].argmax() and abs(got.score - score[got.x]) < 1e-6 and abs(got.x - 150) < 6
