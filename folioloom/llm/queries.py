@@ -31,9 +31,11 @@ WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text,
 c AS ({kinds}),
 u AS (SELECT row, number, kind, unnest(p) AS m, unnest(range(len(p))) AS i FROM c WHERE len(p) > 1),
 e AS (SELECT *, sum(length(m)) OVER (PARTITION BY row, number ORDER BY i)::BIGINT AS z FROM u),
-h AS (SELECT row, number, kind, z - length(m) AS a, z, CASE WHEN number <= 3 THEN number IN (1, 3) ELSE number = 5 END AS secret, number IN (2, 4) AS named, number = 6 AS endpoint
+h0 AS (SELECT row, number, kind, z - length(m) AS a, z, CASE WHEN number <= 3 THEN number IN (1, 3) ELSE number = 5 END AS secret, number IN (2, 4) AS named, number = 6 AS endpoint
       FROM e WHERE i % 2 = 1 AND (number <> 1 OR length(regexp_extract(m, '{assign}', 2)) >= 6)
         AND (number <> 5 OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')))),
+h AS (SELECT * FROM h0 WINDOW b AS (PARTITION BY row ORDER BY a, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY row ORDER BY a, number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+      QUALIFY number <> 5 OR NOT (coalesce(max(z) FILTER (number IN (4, 6)) OVER b > a, false) OR coalesce(min(a) FILTER (number IN (4, 6)) OVER f < z, false))),
 w AS (SELECT *, coalesce(max(z) FILTER (number <= 3) OVER b > a, false) OR coalesce(min(a) FILTER (number <= 3) OVER f < z, false) AS over_base,
              coalesce(a - max(z) FILTER (secret) OVER b <= {secrets.REACH}, false) OR coalesce(min(a) FILTER (secret) OVER f - z <= {secrets.REACH}, false) AS near_secret,
              coalesce(a - max(z) FILTER (named OR endpoint) OVER b <= {secrets.REACH}, false) OR coalesce(min(a) FILTER (named OR endpoint) OVER f - z <= {secrets.REACH}, false) AS near_other

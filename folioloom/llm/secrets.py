@@ -2,11 +2,11 @@
 
 Base kinds (assign, access, hex) stand alone. Weak kinds (login names, long mixed strings, endpoints) are reported only
 where complementary parts co-occur: the spans of a document meet in an interval join whose scope is REACH characters around
-a span. One window up and one down the spans of a document give, for each, the nearest span of each role before and after
+a span. Parts are different strings: a long mixed string within a login or an endpoint belongs to it, and is no secret. One window up and one down the spans of a document give, for each, the nearest span of each role before and after
 it, so the work grows with a text's length and its number of spans, however long the text.
 
 Nulls: a null text is empty; a null id stays null. Repeated rows are reported each. Positions are code points, ends
-exclusive. An empty table gives an empty result. Java, RE2 and Python agree on the patterns, which name both letter cases
+exclusive. An empty table gives an empty result; columns of any name may be kept. Java, RE2 and Python agree on the patterns, which name both letter cases
 instead of a flag.
 """
 
@@ -38,6 +38,8 @@ KINDS = (
     ("endpoint", 6, "endpoint", r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", None),
 )
 BASE = 3
+#: The kind whose strings may be part of the spans of other kinds.
+OPAQUE, OWNERS = 5, [4, 6]
 #: The roles that complete each role.
 COMPLETES = {"secret": ("name", "endpoint"), "name": ("secret",), "endpoint": ("secret",)}
 
@@ -70,6 +72,11 @@ def spans(docs: DataFrame, text_col: str = "text", keep: list[str] = ("doc_id",)
     before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (up, down))
     of = lambda numbers: F.col("holds") & F.col("number").isin(numbers)
     base = list(range(1, BASE + 1))
+    # a string that is part of another weak span is that one's value or path, and no part of its own
+    found = found.select("*", F.max(F.when(of(OWNERS), F.col("end"))).over(before).alias("owner_before"))
+    found = found.select("*", F.min(F.when(of(OWNERS), F.col("start"))).over(after).alias("owner_after"))
+    owned = F.coalesce(F.col("owner_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("owner_after") < F.col("end"), F.lit(False))
+    found = found.withColumn("holds", F.col("holds") & ~((F.col("number") == OPAQUE) & owned))
     roles = {r: [n for _, n, role, _, _ in KINDS if role == r] for r in COMPLETES}
     found = found.select("*", F.max(F.when(of(base), F.col("end"))).over(before).alias("base_before"), *[F.max(F.when(of(n), F.col("end"))).over(before).alias(f"{r}_before") for r, n in roles.items()])
     found = found.select("*", F.min(F.when(of(base), F.col("start"))).over(after).alias("base_after"), *[F.min(F.when(of(n), F.col("start"))).over(after).alias(f"{r}_after") for r, n in roles.items()])
