@@ -257,6 +257,8 @@ def brute_base(text):
 def brute_spans(text):
     base = brute_base(text)
     weak = [(m.start(), n, k, m.end()) for k, n, _, p, h in secrets.KINDS[3:] for m in re.finditer(p, text) if k != "opaque" or all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    owners = [w for w in weak if w[2] in ("login", "endpoint")]
+    weak = [w for w in weak if w[2] != "opaque" or not any(o[0] < w[3] and w[0] < o[3] for o in owners)]
     role = {k: r for k, _, r, _, _ in secrets.KINDS}
     every, out = sorted(base + weak), list(base)
     for s in weak:
@@ -270,10 +272,21 @@ def brute_spans(text):
 
 def secret_texts():
     r = random.Random(6)
-    bits = ["password = \"hunter22x\"", "token:abc", "Api_KEY='zzzz.zzzz'", "AKIA" + "Q7" * 8, "AKIASHORT", "deadbeef" * 4, "0123456789abcdef", "user_name: bob", "https://h.example/p?q=1", "Zm9vYmFyMTIz" * 3, "é𝒳ß", "secret=secret=secret99", "\x00", "plain words here", "x" * 230]
+    bits = ["password = \"hunter22x\"", "token:abc", "Api_KEY='zzzz.zzzz'", "AKIA" + "Q7" * 8, "AKIASHORT", "deadbeef" * 4, "0123456789abcdef", "user_name: bob", "https://h.example/p?q=1", "Zm9vYmFyMTIz" * 3, "é𝒳ß", "secret=secret=secret99", "client_id=3MVG9lKcPoNINVBIPJjdw1J9LLM", "https://Example.com/News/2024/Some-Long-Article-Title-Here", "\x00", "plain words here", "x" * 230]
     return ["".join(r.choice(bits) + r.choice([" ", "\n", ",", ""]) for _ in range(r.randint(0, 12))) for _ in range(200)] + [None, "", "é" * 50]
 
 
+def test_one_string_is_not_two_parts(spark):
+    mixed = "Zm9vYmFyMTIz" * 3
+    rows = [
+        (1, "see https://Example.com/News/2024/Some-Long-Article-Title-Here for more"), (2, "client_id=3MVG9lKcPoNINVBIPJjdw1J9LLM"), (3, f"client_id=3MVG9lKcPoNINVBIPJjdw1J9LLM and {mixed}"),
+        (4, f"https://Example.com/News/2024/Some-Long-Article-Title-Here, {mixed}"), (5, "user: bob at https://Example.com/News/2024/Some-Long-Article-Title-Here"), (6, f"{mixed} alone"), (7, f"{mixed}{' ' * 201}user: bob"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.i: [s.kind for s in r.spans] for r in secrets.spans(df).select(F.col("kept.doc_id").alias("i"), "spans").collect()}
+    assert got == {1: [], 2: [], 3: ["login", "opaque"], 4: ["endpoint", "opaque"], 5: [], 6: [], 7: []}
+
+
 def test_secrets_against_brute_force(spark):
     texts = secret_texts()
     df = spark.createDataFrame([(i % 190, t, "clash", "x") for i, t in enumerate(texts)], "doc_id long, text string, row string, spans string").repartition(3)
