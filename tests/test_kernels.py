@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from folioloom.plans import queries as K
+from folioloom.plans import raster_queries, run_queries  # noqa: F401  (they add their queries to those of K)
 
 SF = "/root/testdata/sf0.001"
 
