@@ -114,9 +114,12 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, id_col: str = "doc_
     # only windows with a least shingle of a template of their class go on
     win = win.filter(reduce(lambda other, c: F.when(F.col("class") == c, holds(by_class[c])).otherwise(other), classes, F.lit(False)))
     band = win.withColumn("keys", F.array(*[_least(F.col("s"), b) for b in range(BANDS)]))
-    sides = known.select("license", "class", F.col("shingles").alias("t"), F.col("keys").alias("t_keys"))
-    same = F.exists(F.zip_with("keys", "t_keys", lambda a, b: a == b), lambda x: x)
-    found = band.join(F.broadcast(sides), "class").filter(same)
+    # band keys retrieve: a window meets the templates with which it shares one, at the first band of those that it shares
+    tables = known.select("license", "class", F.posexplode("keys").alias("b", "key"))
+    bodies = known.select("license", F.col("shingles").alias("t"), F.col("keys").alias("t_keys"))
+    probes = band.select("row", "id", "class", "start", "s", "keys", F.posexplode("keys").alias("b", "key"))
+    found = probes.join(F.broadcast(tables), ["class", "b", "key"]).join(F.broadcast(bodies), "license")
+    found = found.filter(F.array_position(F.zip_with("keys", "t_keys", lambda a, b: a == b), True) == F.col("b") + 1)
     share = F.size(F.array_intersect("s", "t")) / F.size("t")
     found = found.withColumn("containment", share).filter(F.col("containment") >= CONTAINED)
     best = found.groupBy("row", "license").agg(F.first("id").alias("id"), F.max(F.struct("containment", (-F.col("start")).alias("start"))).alias("best"))
