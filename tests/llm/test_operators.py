@@ -455,6 +455,17 @@ def test_license_bodies_and_wordings(spark):
     assert found >= {(1, "gpl-2.0"), (2, "isc"), (3, "mit-licensed")} and not any(i == 4 for i, _ in found)
 
 
+def test_band_keys_retrieve_among_many_templates(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    many = {f"t{k}": " ".join(word() for _ in range(r.choice([8, 20, 40]))) for k in range(700)}
+    near = {k: many[k].split() for k in ("t3", "t77", "t500")}
+    rows = [(i, " ".join([*(word() for _ in range(30)), *w, *(word() for _ in range(30))])) for i, w in enumerate(near.values())]
+    rows += [(10, many["t9"] + " " + many["t10"]), (11, " ".join(word() for _ in range(300))), (12, None)]
+    found = {(x.id, x.license) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), many).collect()}
+    assert found == {(0, "t3"), (1, "t77"), (2, "t500"), (10, "t9"), (10, "t10")}
+
+
 def test_license_bands_reach_the_stated_recall():
     for text in licenses.TEMPLATES.values():
         t = len(set(zip(*(licenses.words_of(text)[k:] for k in range(licenses.N)))))
@@ -479,6 +490,19 @@ def test_licenses(spark):
     assert sorted((r.id, r.license) for r in licenses.scan(df).collect()) == [(1, "mit-statement"), (2, "apache-2.0-statement")]
 
 
+def test_blocks_of_near_vectors_are_skipped():
+    """Vectors in tight groups, ids by group: most blocks are never scored, and the results are those of all products."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 32)) * 300
+    x = np.floor(np.repeat(centres, 64, axis=0) + r.normal(size=(40 * 64, 32)) * 10).astype(np.int64)
+    q = x[::100]
+    at, ids, scores, scored = topk.search_cell(np.arange(len(x))[::100], q, np.arange(len(x)), x, 5, block=64)
+    assert scored < 0.2 * len(q) * 40
+    for k in range(len(q)):
+        s = np.delete(x @ q[k], 100 * k)
+        assert sorted(scores[at == k].tolist(), reverse=True) == sorted(s.tolist(), reverse=True)[:5]
+
+
 def test_mix_of_one_id(spark):
     rows = [(None, f"{'word ' * 9}{i}", "a") for i in range(400)] + [(1, f"{'word ' * 9}{i}", "b") for i in range(400)] + [(i, "some few words", "c") for i in range(100)]
     rows = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
