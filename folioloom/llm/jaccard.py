@@ -23,6 +23,7 @@ set each, held in one task at a time. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -444,6 +445,7 @@ def prefix_pairs(nodes: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of nodes: they share a prefix n-gram, are not connected, and neither its positions nor their
     bitmaps (id, bitmap) exclude a link. Pairs are compared where the group stands; only those that stay leave the task."""
     members = stage(prefix_members(nodes), "jaccard-members")
+    forget(nodes)
     rows = dealt(members.join(bitmaps.select("id", "bitmap"), "id").select("g", "cell", "id", "label", "at", "bitmap"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,6 +464,12 @@ def prefix_pairs(nodes: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
+def forget(df: DataFrame) -> None:
+    """Have the driver collect its garbage: the shuffle files of plans whose results are written go with the plans."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n and component of every row."""
     own = F.col(id_col).cast("long")
@@ -477,8 +485,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     once = stage(reps.select("id", "n", "bitmap"), "jaccard-bitmaps")
     links = stage(verify(known, stage(may_link(stars, once), "jaccard-stars")), "jaccard-links")
     label = components(links)
+    forget(docs)
     nodes = reps.select("id", "n", "prefix").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    links = links.union(stage(verify(known, stage(prefix_pairs(nodes, once), "jaccard-pairs")), "jaccard-links"))
+    more = stage(prefix_pairs(nodes, once), "jaccard-pairs")
+    forget(docs)
+    links = links.union(stage(verify(known, more), "jaccard-links"))
     # copies meet in their representatives, and so do the texts of rows that share an id
     of = full.select("id", "digest").join(first, "digest").select("id", "rep")
     shared = of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a")
