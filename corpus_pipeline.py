@@ -16,8 +16,7 @@ from folioloom.llm.common import stage
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is unknown or whose text no model expects go."""
-    out = langid.identify(docs, keep=docs.columns, names=("__lang", "__score", "__rejected"))
-    return out.filter((F.col("__lang") != langid.UNKNOWN) & ~F.col("__rejected")).select(docs.columns)
+    return langid.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

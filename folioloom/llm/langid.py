@@ -238,3 +238,12 @@ def identify(
     at = (F.col(names[0]) == F.col("__of")) & (F.col("__band") >= F.col("__low")) & (F.col("__band") < F.col("__high"))
     rejected = F.col("__bits").isNull() | F.coalesce(F.col("__bits") > F.col("__limit"), F.lit(False))
     return scored.join(small(lim), at, "left").withColumn(names[2], rejected).select(*keep, *names)
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without those whose language is unknown or whose text is rejected. Both follow from the text alone, so the texts
+    that go are known by their digests, and no text is written."""
+    keyed = docs.withColumn("__key", F.md5(F.coalesce(text_col, F.lit(""))))
+    found = identify(keyed, id_col, text_col, lang_col, keep=["__key"], names=("__lang", "__score", "__rejected"))
+    gone = stage(found.filter((F.col("__lang") == UNKNOWN) | F.col("__rejected")).select("__key").distinct(), "langid-gone")
+    return keyed.join(small(gone), "__key", "left_anti").select(docs.columns)
