@@ -5,12 +5,13 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioloom.llm import langid
 from folioloom.llm import queries as llm
-from folioloom.llm.common import shared_dir
+from folioloom.llm.common import BATCH, bounded, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,6 +69,31 @@ def test_language_stage_writes_no_text(spark, sf):
     assert got == Counter(map(tuple, told.collect())) and got[data[3]] == 3 and got[odd[0]] == 1 and not any(x in got for x in odd[1:4])
 
 
+def test_stages_bound_what_a_task_holds(spark, sf):
+    pytest.importorskip("public_tokenizers")
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "parquet.hadoop.vectored.io.enabled")
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcd "), 600).alias("text"), F.lit("a").alias("lang"), F.lit("s").alias("source"), F.lit(3000).cast("long").alias("n_chars"))
+    docs = docs.union(spark.range(1).select(F.lit(3000).cast("long"), F.repeat(F.lit("abcd "), 1_000_000), F.lit("a"), F.lit("s"), F.lit(5_000_000).cast("long")))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    for name, apply in corpus_pipeline.STAGES:
+        for key in keys:
+            spark.conf.unset(key)
+        apply(spark, spark.read.parquet(f"{sf[0]}/documents.parquet"), sf[0])
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 3001 and max(r.bytes for r in got if r.n > 1) < 2 * BATCH, name
+        assert max(r.bytes for r in got) >= 5_000_000 and spark.conf.get(keys[1]) == "false", name  # a longer row is whole
+    for key, value in zip(keys, ("5000000", "true")):  # what the session sets stays
+        spark.conf.set(key, value)
+    bounded(spark)
+    assert [spark.conf.get(key) for key in keys] == ["5000000", "true"]
+    for key in keys:
+        spark.conf.unset(key)
+
+
 def test_run_and_empty_tables(spark, sf, tmp_path):
     pytest.importorskip("public_tokenizers")
     got = corpus_pipeline.run(spark, sf[0]).collect()
