@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -44,3 +45,18 @@ def test_natural_order(spark):
 
     df = spark.createDataFrame([(s,) for s in "p10.jpg p2.jpg P1.jpg p02b.jpg a.jpg".split()], "s string")
     assert [r.s for r in df.orderBy(natural_key(df.s), "s").collect()] == "a.jpg P1.jpg p2.jpg p02b.jpg p10.jpg".split()
+
+
+def test_otsu_of_ties_and_plain_pages(spark, tmp_path):
+    """Pages as dark as they are light, whose splits tie, and pages of one level."""
+    rng = np.random.default_rng(0)
+    half = rng.integers(0, 256, (300, 32))
+    grey = [*np.concatenate((half, 255 - half), axis=1), *(np.full(64, g) for g in (0, 1, 100, 254, 255))]
+    rows = [(i, [float(v) for v in g / 255 - 0.5]) for i, g in enumerate(grey)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pages = duckdb.connect()
+    pages.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(pages.sql(K.SQL["raster_otsu_level"]).fetchall())
+    assert len(want) == len(rows)
+    for name in ("raster_otsu_level", "otsu_level"):
+        assert sorted(map(tuple, K.QUERIES[name](spark, str(tmp_path)).collect())) == want
